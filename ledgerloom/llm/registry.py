@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op8_token_files": op8_token_files,
 }
 
