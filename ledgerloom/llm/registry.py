@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from ledgerloom.llm.bpe import op3_bpe
+from ledgerloom.llm.quality_rules import op6_quality_rules
+from ledgerloom.llm.secret_scan import op10_secret_scan
 from ledgerloom.llm.token_files import op8_token_files
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op6_quality_rules": op6_quality_rules,
     "op8_token_files": op8_token_files,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
