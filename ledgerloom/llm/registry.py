@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.quality_rules import op6_quality_rules
+from ledgerloom.llm.rule_ensemble import op2_quality
 from ledgerloom.llm.secret_scan import op10_secret_scan
 from ledgerloom.llm.token_files import op8_token_files
+from ledgerloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_files": op8_token_files,
