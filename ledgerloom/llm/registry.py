@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.llm.bpe import op3_bpe
+from ledgerloom.llm.mixing import op4_mixing
 from ledgerloom.llm.quality_rules import op6_quality_rules
 from ledgerloom.llm.rule_ensemble import op2_quality
 from ledgerloom.llm.secret_scan import op10_secret_scan
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_files": op8_token_files,
     "op10_secret_scan": op10_secret_scan,
