@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ledgerloom.llm.bpe import op3_bpe
+from ledgerloom.llm.chat import op9_chat_format
 from ledgerloom.llm.mixing import op4_mixing
+from ledgerloom.llm.near_dedup import op7_near_dedup
 from ledgerloom.llm.quality_rules import op6_quality_rules
 from ledgerloom.llm.rule_ensemble import op2_quality
 from ledgerloom.llm.secret_scan import op10_secret_scan
@@ -16,7 +18,9 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_near_dedup": op7_near_dedup,
     "op8_token_files": op8_token_files,
+    "op9_chat_format": op9_chat_format,
     "op10_secret_scan": op10_secret_scan,
 }
 
