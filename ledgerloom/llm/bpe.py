@@ -290,8 +290,8 @@ def decode_documents(encoded: DataFrame, vocab: str | None = None, library: bool
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def round_trip_digests(docs: DataFrame, vocab: str | None = None) -> DataFrame:
-    """Encode every whole text, decode the ids, and return both digests.
+def round_trip_digests(docs: DataFrame, vocab: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode every whole text, decode the ids, and return both digests, and the ids if wanted.
 
     Encoding and decoding stand in one pass, so ids needn't leave the worker."""
     path = vocab or vocabulary("word_bpe_49k.json")
@@ -302,16 +302,24 @@ def round_trip_digests(docs: DataFrame, vocab: str | None = None) -> DataFrame:
         decimal = [str(k) for k in range(len(enc.model.strings))]
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
-            n, coded, back = [], [], []
+            kept, n, coded, back = [], [], [], []
             for text in batch.column(1):
                 ids = enc.ids(text.as_py())
                 state = Decoder(enc.model, library=True)
                 n.append(len(ids))
                 coded.append(sha(" ".join(map(decimal.__getitem__, ids))))
                 back.append(sha(state.feed(ids) + state.finish()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_arrow(id_and_text(docs), run, SCHEMA)
+                if with_ids:
+                    kept.append(pa.array(ids, pa.int32()))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                ends = np.cumsum([0, *n]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(kept) if kept else pa.array([], pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(id_and_text(docs), run, SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
