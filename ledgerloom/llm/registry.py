@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.additive_search import op5_additive_search
 from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.chat import op9_chat_format
 from ledgerloom.llm.mixing import op4_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
+    "op5_additive_search": op5_additive_search,
     "op6_quality_rules": op6_quality_rules,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_files": op8_token_files,
