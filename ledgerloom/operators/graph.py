@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.lineage import cut
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
@@ -38,8 +40,7 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int = 100) -> DataFrame:
     level = known
     for k in range(1, depth + 1):
         down = level.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("root", F.col("dst").alias("node"), F.lit(k).alias("depth")).distinct()
-        # kept, with spilling to disk, as the next level and the result both read it
-        level = down.join(known.select("root", "node"), ["root", "node"], "left_anti").persist()
+        level = cut(down.join(known.select("root", "node"), ["root", "node"], "left_anti"), "level")
         if level.isEmpty():
             break
         known = known.unionByName(level)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import graph, records, search
+from ledgerloom.plans import app, extras, graph, passages, records, resolution, search
 
-PARTS = (search, graph, records)
+PARTS = (search, graph, records, app, passages, resolution, extras)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
