@@ -4,16 +4,18 @@
    SetSketch: each of M registers keeps floor(1 - log_b x) of the smallest of exponential variates
    x, one for each shingle, truncated to 0..255. Registers of a union are the larger of both.
 2  Texts with one digest are one class from here on, however many copies there are.
-3  Bands of ROWS registers are hashed. A band's bucket links all its classes to the least one, so a
-   bucket of n classes yields n - 1 links and not n squared. Components of these links hold every
-   pair that shares a band, and texts that don't share one with probability at most 3e-6 at the
-   threshold (1e-12 at 0.9).
-4  Within a candidate component, pairs are compared by their registers: a pair whose likelihood at
-   the threshold is e**CUTOFF times below its largest, beyond five standard errors, is passed over.
-   All others are confirmed, or not, on the full sets. Search goes outwards from linked texts, so
-   within a group of texts that are all alike each is compared once.
-   A component of more than BLOCK texts is dealt out in pairs of blocks, each pair of blocks to one
-   task: no task holds more than two blocks, and every pair of texts still meets somewhere.
+3  Bands of ROWS registers are hashed into buckets. Buckets with the same classes are one. Within a
+   bucket, pairs are compared by their registers: a pair whose likelihood at the threshold is
+   e**CUTOFF times below its largest, beyond five standard errors, is passed over. What remains
+   connected is linked to its least class, so a bucket of n classes yields n - 1 links at most.
+   Components of these links hold every pair that shares a band, and texts that don't share one
+   with probability at most 3e-6 at the threshold (1e-12 at 0.9).
+4  Within a candidate component, pairs that the registers allow are confirmed, or not, on the full
+   sets. Search goes outwards from linked texts, so within a group of texts that are all alike each
+   is compared once.
+   A bucket of more than BUCKET_BLOCK classes, or a component of more than BLOCK texts, is dealt
+   out in pairs of blocks, each pair of blocks to one task: no task holds more than two blocks, and
+   every pair still meets somewhere.
 5  Components of the confirmed links are the result.
 
 Null and empty texts have no shingles and stand alone. Rows with a null doc_id keep their size, have
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, id_and_text, map_arrow, table
-from ledgerloom.llm.components import components
+from ledgerloom.operators.components import components
 
 SHINGLE, SIMILARITY = 4, 0.8
 BANDS, ROWS = 32, 5
@@ -40,6 +42,10 @@ BASE, RATE = 1.2, 20.0
 CUTOFF = 14.0
 #: Texts, and shingles, of one block of a large candidate component.
 BLOCK, BLOCK_SHINGLES = 3000, 3_000_000
+#: Classes of one block of a large bucket.
+BUCKET_BLOCK = 4000
+#: Equal registers without which a pair isn't looked at: seven standard deviations below what the threshold gives.
+LEAST_EQUAL = round(0.59 * M)
 
 _rng = np.random.default_rng(0x5E75)
 FACTORS, OFFSETS = _rng.integers(0, 1 << 63, M, np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 1 << 63, M, np.uint64)
@@ -86,11 +92,11 @@ def sketches(sets: list[np.ndarray], block: int = 32_768) -> np.ndarray:
     return out
 
 
-def log_likelihood(more: np.ndarray, less: np.ndarray, n_u: float, n_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def log_likelihood(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of registers that are larger and smaller in u than in v, for sets of known sizes.
 
     Returns the log-likelihood at GRID (pairs by grid points; -inf where sizes forbid) and at SIMILARITY."""
-    u = n_u / (n_u + n_v)[:, None]
+    u = (n_u / (n_u + n_v))[:, None]
     v = 1 - u
 
     def at(j: np.ndarray) -> np.ndarray:
@@ -104,21 +110,25 @@ def log_likelihood(more: np.ndarray, less: np.ndarray, n_u: float, n_v: np.ndarr
     return at(GRID[None, :]), at(np.array([[SIMILARITY]]))[:, 0]
 
 
-def may_link(regs: np.ndarray, one: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which of the others the likelihood doesn't rule out."""
-    more, less = (regs[one] > regs[others]).sum(1), (regs[one] < regs[others]).sum(1)
-    grid, there = log_likelihood(more, less, float(sizes[one]), sizes[others].astype(float))
-    best = grid.argmax(1)
-    return (GRID[best] >= SIMILARITY) | (grid[np.arange(len(best)), best] - there <= CUTOFF)
+def may_link(one: np.ndarray, others: np.ndarray, n_one: np.ndarray, n_others: np.ndarray) -> np.ndarray:
+    """Which pairs of register rows the likelihood doesn't rule out; `one` is a row, or a row for each."""
+    out = (one == others).sum(1) >= LEAST_EQUAL
+    at = np.flatnonzero(out)
+    if len(at):
+        mine = one[at] if one.ndim == 2 else one
+        n_mine = np.broadcast_to(np.asarray(n_one, float), (len(others),))[at]
+        grid, there = log_likelihood((mine > others[at]).sum(1), (mine < others[at]).sum(1), n_mine, n_others[at].astype(float))
+        best = grid.argmax(1)
+        out[at] = (GRID[best] >= SIMILARITY) | (grid[np.arange(len(at)), best] - there <= CUTOFF)
+    return out
 
 
-def confirmed_links(sets: list[np.ndarray], percent: int = round(100 * SIMILARITY)) -> list[tuple[int, int]]:
-    """A forest of confirmed links whose trees are the components of all links among the sets."""
-    sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    sets, sizes = [sets[k] for k in order], sizes[order]
-    regs, open_, links = sketches(sets), np.ones(len(sets), bool), []
-    for seed in range(len(sets)):
+def search_outwards(sizes: np.ndarray, linked, percent: int = round(100 * SIMILARITY)) -> list[tuple[int, int]]:
+    """A forest of links over ascending sizes; linked(one, others) tells which of the others link to one.
+
+    Only sizes that allow the similarity are compared, and nothing that is in a tree already."""
+    open_, links = np.ones(len(sizes), bool), []
+    for seed in range(len(sizes)):
         if not open_[seed]:
             continue
         open_[seed], frontier = False, [seed]
@@ -127,22 +137,56 @@ def confirmed_links(sets: list[np.ndarray], percent: int = round(100 * SIMILARIT
             low = np.searchsorted(sizes, -(-percent * sizes[one] // 100), "left")
             high = np.searchsorted(sizes, 100 * sizes[one] // percent, "right")
             others = np.flatnonzero(open_[low:high]) + low
-            for k in range(0, len(others), 512):
-                some = others[k : k + 512]
-                some = some[may_link(regs, one, some, sizes)]
-                if not len(some):
-                    continue
-                mine = sets[one]
-                values = np.concatenate([sets[j] for j in some])
-                place = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
-                common = np.add.reduceat((mine[place] == values).astype(np.int64), np.cumsum([0, *sizes[some[:-1]]]))
-                linked = some[100 * common >= percent * (sizes[one] + sizes[some] - common)]
-                open_[linked] = False
-                frontier += linked.tolist()
-                links += [(int(order[one]), int(order[j])) for j in linked]
+            for k in range(0, len(others), 1024):
+                found = linked(one, others[k : k + 1024])
+                open_[found] = False
+                frontier += found.tolist()
+                links += [(one, int(j)) for j in found]
     return links
 
 
+def confirmed_links(sets: list[np.ndarray], percent: int = round(100 * SIMILARITY)) -> list[tuple[int, int]]:
+    """A forest of confirmed links whose trees are the components of all links among the sets."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets = [sets[k] for k in order]
+    sizes, regs = np.array([len(s) for s in sets]), sketches(sets)
+
+    def linked(one: int, others: np.ndarray) -> np.ndarray:
+        some = others[may_link(regs[one], regs[others], sizes[one], sizes[others])]
+        if not len(some):
+            return some
+        mine, values = sets[one], np.concatenate([sets[j] for j in some])
+        place = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+        common = np.add.reduceat((mine[place] == values).astype(np.int64), np.cumsum([0, *sizes[some[:-1]]]))
+        return some[100 * common >= percent * (sizes[one] + sizes[some] - common)]
+
+    return [(int(order[a]), int(order[b])) for a, b in search_outwards(sizes, linked, percent)]
+
+
+def likely_links(sizes: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
+    """The same, by registers alone."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, regs = sizes[order], regs[order]
+    found = search_outwards(sizes, lambda one, others: others[may_link(regs[one], regs[others], sizes[one], sizes[others])])
+    return [(int(order[a]), int(order[b])) for a, b in found]
+
+
+def stars(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(member, least member) for each member of a tree of links but the least."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [(k, find(k)) for k in range(n) if find(k) != k]
+
+
 def digest(found: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(found) if len(found) else None
 
@@ -161,57 +205,115 @@ def sketch_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return map_arrow(id_and_text(docs), run, "doc_id long, n_shingles long, node binary, regs binary")
 
 
+def in_block_pairs(rows: DataFrame, group: str, blocks: str) -> DataFrame:
+    """rows (group, node, blocks, ...) with `task`: one for a group of one block, else one for each pair of blocks.
+
+    A row of block i goes to the tasks of (i, j) for all other j; a block meets itself in any of them."""
+    mine = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    spread = rows.withColumn("__mine", mine).withColumn("__k", F.explode(F.sequence(F.lit(0), F.greatest(F.col(blocks).cast("int") - 2, F.lit(0)))))
+    other = F.when(F.col("__k") >= F.col("__mine"), F.col("__k") + 1).otherwise(F.col("__k"))
+    task = F.when(F.col(blocks) == 1, F.xxhash64(group)).otherwise(F.xxhash64(group, F.least("__mine", other), F.greatest("__mine", other)))
+    return spread.withColumn("task", task).drop("__mine", "__k")
+
+
 def candidate_components(classes: DataFrame) -> DataFrame:
-    """node and root: components of the links from each bucket's classes to its least one."""
+    """node and root: components of the likely links within buckets."""
     keys = classes.select("node", F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("regs", k * ROWS + 1, ROWS)) for k in range(BANDS)))).alias("bucket"))
-    leaders = keys.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
-    return components(keys.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    buckets = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same"), F.min("node").alias("least")).where("n > 1")
+    buckets = buckets.groupBy("n", "same", "least").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).alias("blocks"))
+    members = in_block_pairs(keys.join(buckets, "bucket"), "bucket", "blocks").select("task", "bucket", "node")
+    rows = members.join(classes.select("node", "n_shingles", "regs"), "node").select("task", "bucket", "node", "n_shingles", "regs")
+    dealt = rows.repartition("task", "bucket").sortWithinPartitions("task", "bucket", "node")
 
+    def run(batches):
+        key, group, pairs, out = None, [], [], []
+
+        def settle():
+            """Groups of two, by far the most, are judged together."""
+            if pairs:
+                regs = np.frombuffer(b"".join(r for p in pairs for _, _, r in p), np.uint8).reshape(-1, 2, M)
+                sizes = np.array([[n for _, n, _ in p] for p in pairs])
+                fit = 100 * sizes.min(1) >= round(100 * SIMILARITY) * sizes.max(1)
+                good = may_link(regs[:, 0], regs[:, 1], sizes[:, 0], sizes[:, 1]) & fit
+                out.extend((pairs[k][1][0], pairs[k][0][0]) for k in np.flatnonzero(good))
+                pairs.clear()
+
+        def close():
+            if len(group) == 2:
+                pairs.append(tuple(group))
+            elif len(group) > 2:
+                regs = np.frombuffer(b"".join(r for _, _, r in group), np.uint8).reshape(-1, M)
+                links = likely_links(np.array([n for _, n, _ in group]), regs)
+                out.extend((group[a][0], group[b][0]) for a, b in stars(len(group), links))
+
+        def made():
+            batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
+            out.clear()
+            return batch
 
-def links_between(docs: DataFrame, classes: DataFrame, candidates: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Confirmed links (a, b) between classes of one candidate component."""
+        for batch in batches:
+            for t, b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (t, b) != key:
+                    close()
+                    key, group = (t, b), []
+                group.append(tuple(row))
+            if len(pairs) >= 4096:
+                settle()
+            yield made()
+        close()
+        settle()
+        yield made()
+
+    dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    return components(dealt.mapInArrow(run, "a binary, b binary"))
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """a, b and whole: each class and the least one that it's linked to, by way of others or not.
+
+    whole: the candidate component was one task, so b is final; else links of several tasks add up."""
     members = cut(candidates.join(classes.select("node", "doc_id", "n_shingles"), "node"), "members")
-    dealt = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    blocked = members.join(dealt, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = blocked.select("root", "node", "doc_id", "mine", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0)))).alias("k"), "blocks")
-    # block i meets block j in task (i, j); with one block there is one task, and each block meets itself in any
-    other = F.when(F.col("k") >= F.col("mine"), F.col("k") + 1).otherwise(F.col("k"))
-    group = F.when(F.col("blocks") == 1, F.xxhash64("root")).otherwise(F.xxhash64("root", F.least("mine", other), F.greatest("mine", other)))
-    places = pairs.withColumn("other", other).select("doc_id", "node", group.alias("group"), F.col("root"))
-    texts = id_and_text(docs).join(places, "doc_id").select("group", "root", "node", "text")
-    sorted_texts = texts.repartition("group", "root").sortWithinPartitions("group", "root", "node")
+    dealt = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    places = in_block_pairs(members.join(dealt, "root"), "root", "blocks").select("doc_id", "node", "task", "root", (F.col("blocks") == 1).alias("whole"))
+    texts = id_and_text(docs).join(places, "doc_id").select("task", "root", "whole", "node", "text")
+    dealt = texts.repartition("task", "root").sortWithinPartitions("task", "root", "node")
 
     def run(batches):
         key, nodes, sets = None, [], []
 
         def done():
-            found = confirmed_links(sets) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.binary()), pa.array([nodes[y] for _, y in found], pa.binary())], names=["a", "b"])
+            found = stars(len(nodes), confirmed_links(sets)) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in found], pa.binary()), pa.array([nodes[b] for _, b in found], pa.binary()), pa.array([key is not None and key[2]] * len(found), pa.bool_())], names=["a", "b", "whole"])
 
         for batch in batches:
-            for g, r, node, text in zip(*(batch.column(k) for k in range(4)), strict=True):
-                g, node = (g.as_py(), r.as_py()), node.as_py()
-                if g != key:
+            for task, root, whole, node, text in zip(*batch.columns, strict=True):
+                group, node = (task.as_py(), root.as_py(), whole.as_py()), node.as_py()
+                if group != key:
                     yield done()
-                    key, nodes, sets = g, [], []
+                    key, nodes, sets = group, [], []
                 found = shingles(text.as_py(), size)
                 if digest(found) == node and (not nodes or nodes[-1] != node):  # a doc_id may have other texts
                     nodes.append(node)
                     sets.append(found)
         yield done()
 
-    return map_arrow(sorted_texts, run, "a binary, b binary")
+    return map_arrow(dealt, run, "a binary, b binary, whole boolean")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, node, component_id and kept of every row.
 
-    Three tables are written on the way: sketches, members, and edges; texts are shuffled once, for
-    confirmation."""
+    Small tables are written on the way: sketches, classes, members, edges and links; texts are
+    shuffled once, for confirmation."""
     rows = cut(sketch_documents(docs, size), "sketches")
     classes = cut(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")), "classes")
-    links = links_between(docs, classes, candidate_components(classes), size)
-    linked = cut(components(links).join(classes.select("node", F.col("doc_id").alias("least")), "node"), "linked")
+    links = cut(confirmed(docs, classes, candidate_components(classes), size), "links")
+    roots = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    parts = links.where("not whole").select("a", "b")
+    if not parts.isEmpty():
+        roots = roots.unionByName(components(parts))
+    linked = cut(roots.join(classes.select("node", F.col("doc_id").alias("least")), "node"), "linked")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = linked.join(named, "root").select("node", "component_id")
     alone = classes.join(by_node, "node", "left").select("node", F.coalesce("component_id", F.col("doc_id")).alias("component_id"))
