@@ -85,10 +85,11 @@ def resolve_stubs(fetch, stubs: DataFrame, passes: int = 10) -> tuple[DataFrame,
         if wanted.isEmpty():
             break
         found, linked = fetch(wanted)
-        lost = wanted.join(found.select("uri"), "uri", "left_anti")
+        found, linked = cut(found, "found"), linked.select("uri").distinct()
+        lost = cut(wanted.join(found.select("uri"), "uri", "left_anti"), "lost")
         nodes = found if nodes is None else nodes.unionByName(found)
         failed = lost if failed is None else failed.unionByName(lost)
-        wanted = linked.select("uri").distinct().join(nodes.select("uri"), "uri", "left_anti").join(failed, "uri", "left_anti")
+        wanted = cut(linked.join(nodes.select("uri"), "uri", "left_anti").join(failed, "uri", "left_anti"), "wanted")
     return nodes, failed
 
 
