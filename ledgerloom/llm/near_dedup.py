@@ -13,6 +13,7 @@
 4  Within a candidate component, pairs that the registers allow are confirmed, or not, on the full
    sets. Search goes outwards from linked texts, so within a group of texts that are all alike each
    is compared once.
+   Both joins with what grows (buckets, members) are sort-merge joins at every size.
    A bucket of more than BUCKET_BLOCK classes, or a component of more than BLOCK texts, is dealt
    out in pairs of blocks, each pair of blocks to one task: no task holds more than two blocks, and
    every pair still meets somewhere.
@@ -221,7 +222,7 @@ def candidate_components(classes: DataFrame) -> DataFrame:
     keys = classes.select("node", F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("regs", k * ROWS + 1, ROWS)) for k in range(BANDS)))).alias("bucket"))
     buckets = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same"), F.min("node").alias("least")).where("n > 1")
     buckets = buckets.groupBy("n", "same", "least").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).alias("blocks"))
-    members = in_block_pairs(keys.join(buckets, "bucket"), "bucket", "blocks").select("task", "bucket", "node")
+    members = in_block_pairs(keys.join(buckets.hint("merge"), "bucket"), "bucket", "blocks").select("task", "bucket", "node")
     rows = members.join(classes.select("node", "n_shingles", "regs"), "node").select("task", "bucket", "node", "n_shingles", "regs")
     dealt = rows.repartition("task", "bucket").sortWithinPartitions("task", "bucket", "node")
 
@@ -275,7 +276,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, size:
     members = cut(candidates.join(classes.select("node", "doc_id", "n_shingles"), "node"), "members")
     dealt = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
     places = in_block_pairs(members.join(dealt, "root"), "root", "blocks").select("doc_id", "node", "task", "root", (F.col("blocks") == 1).alias("whole"))
-    texts = id_and_text(docs).join(places, "doc_id").select("task", "root", "whole", "node", "text")
+    texts = id_and_text(docs).join(places.hint("merge"), "doc_id").select("task", "root", "whole", "node", "text")
     dealt = texts.repartition("task", "root").sortWithinPartitions("task", "root", "node")
 
     def run(batches):
