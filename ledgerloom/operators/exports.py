@@ -11,7 +11,7 @@ from pyspark.sql import types as St
 
 from ledgerloom.functions import text as T
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def as_text(field: St.StructField) -> Column:
