@@ -3,40 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.lineage import cut, shared_dir  # noqa: F401  for the operators
+from ledgerloom.tables import table  # noqa: F401
+
 #: Words of every contract: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts that a Python worker gets at once; a bound on memory, not on what is read.
 ARROW_ROWS = 512
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage.
-
-    Committed files outlive any executor, and their exact sizes let adaptive execution pick joins."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

@@ -16,7 +16,6 @@ doc_id stay apart, ordered by a hash of the text. An empty table yields no segme
 
 from __future__ import annotations
 
-import functools
 import struct
 import uuid
 import zlib
@@ -184,8 +183,7 @@ def read_token_table(spark: SparkSession, path: str) -> DataFrame:
                 sums = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + (bases[shard.as_py()] + offset.as_py())), pa.array(stops - starts), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return segments.select("shard", "shard_offset", "payload").mapInArrow(functools.partial(decode), READ)
+    return map_arrow(segments.select("shard", "shard_offset", "payload"), decode, READ)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
