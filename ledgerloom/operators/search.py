@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import vectors
+from ledgerloom.lineage import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 LETTERS = r"[^\p{L}]+"
@@ -32,7 +33,7 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], weights: list[f
     """key and score of the documents that hold a term. One row of statistics is collected."""
     terms = list(dict.fromkeys(terms))
     weights = weights or [1.0] * len(terms)
-    counted = with_frequencies(docs, key, text, terms)
+    counted = cut(with_frequencies(docs, key, text, terms), "frequencies")  # texts are read once, for statistics and scores alike
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(terms)))).first()
     score = F.lit(0.0)
     for k, w in enumerate(weights):
