@@ -326,7 +326,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """All columns of docs; of each component the rows of its least doc_id stay, repeated rows once."""
     found = cut(near_duplicates(docs, size), "near")
     dropped = found.where("not kept").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti")
+    rest = docs.join(dropped.hint("merge"), "doc_id", "left_anti")  # dropped grows: one plan at every size
     twice = found.where("kept and doc_id is not null and node is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return rest
