@@ -34,9 +34,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{21,}={0,2}")
 #: Base64 of a DER sequence begins with M, of the OpenSSH magic with b3Bl, of a PEM block with LS0t, of an access id with QUtJ.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M|b3Bl|LS0t|QUtJ)[A-Za-z0-9+/_-]{20,}={0,2}")
-HEX_KEY = re.compile(r"(?<![0-9A-Za-z])(?:30[0-9A-Fa-f]{46,}|2[dD]{1}2[dD]2[dD][0-9A-Fa-f]{42,}|414[bB]4941[0-9A-Fa-f]{28,}|6[fF]70656[eE][0-9A-Fa-f]{40,})(?![0-9A-Za-z])")
+#: Signs of the alphabet also part names and paths, so a candidate may begin behind any of them.
+STARTS = re.compile(r"(?<![A-Za-z0-9])(?=M|b3Bl|LS0t|QUtJ)")
+HEX_KEY = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?(30[0-9A-Fa-f]{46,}|2[dD]{1}2[dD]2[dD][0-9A-Fa-f]{42,}|414[bB]4941[0-9A-Fa-f]{28,}|6[fF]70656[eE][0-9A-Fa-f]{40,})(?![0-9A-Za-z])")
 PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 SSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -147,8 +149,9 @@ def added_spans(text: str) -> list[tuple[int, str, int]]:
     found = []
     if "." in text and ("ey" in text or "ew" in text):
         found += [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_token_header(m[1])]
-    found += [(m.start(), kind, m.end()) for m in BASE64.finditer(text) if (kind := key_kind(from_base64(m[0])))]
-    found += [(m.start(), kind, m.end()) for m in HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0])))]
+    for m in BASE64.finditer(text):
+        found += [(m.start() + k.start(), kind, m.end()) for k in STARTS.finditer(m[0]) if (kind := key_kind(from_base64(m[0][k.start() :])))]
+    found += [(m.start(1), kind, m.end()) for m in HEX_KEY.finditer(text) if len(m[1]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[1])))]
     if "-----BEGIN " in text:
         for m in PEM_BEGIN.finditer(text):
             close = f"-----END {m[1]}-----"

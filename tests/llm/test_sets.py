@@ -187,6 +187,20 @@ def test_structure_is_confirmed():
     assert kinds("eyJhbGciOjF9.eyJhIjoxfQ.abc") == []  # alg is no string
 
 
+def test_keys_behind_signs():
+    """A key may stand right behind an assignment, a parameter, a path or 0x."""
+    key = rsa_key()
+    coded, ssh = base64.b64encode(key).decode(), base64.b64encode(ssh_key()).decode()
+    for front in ("PRIVATE_KEY=", "https://a.example/b?k=", "?data==", "/My/keys/", "id-", "my_key_", "a+"):
+        for secret, kind in ((coded, "der_key"), (ssh, "ssh_key")):
+            at = len(front)
+            assert S.added_spans(f"{front}{secret}") == [(at, kind, at + len(secret))], front
+            assert S.redact(f"{front}{secret} end") == f"{front}[{kind.upper()}] end"
+    for front in ("0x", "0X", "k=0x"):
+        assert S.added_spans(f"{front}{key.hex()}") == [(len(front), "der_key", len(front) + 2 * len(key))]
+    assert kinds(f"KEY={base64.b64encode(key[:-3]).decode()}") == [] and kinds(f"0x{key[:-3].hex()}") == []
+
+
 def base_by_hand(text):
     found = []
     for kind, pattern, least in (("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)):
