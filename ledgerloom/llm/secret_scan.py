@@ -34,12 +34,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{21,}={0,2}")
-#: Base64 of a DER sequence begins with M, of the OpenSSH magic with b3Bl, of a PEM block with LS0t, of an access id with QUtJ.
-#: Signs of the alphabet also part names and paths, so a candidate may begin behind any of them.
-STARTS = re.compile(r"(?<![A-Za-z0-9])(?=M|b3Bl|LS0t|QUtJ)")
-HEX_KEY = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?(30[0-9A-Fa-f]{46,}|2[dD]{1}2[dD]2[dD][0-9A-Fa-f]{42,}|414[bB]4941[0-9A-Fa-f]{28,}|6[fF]70656[eE][0-9A-Fa-f]{40,})(?![0-9A-Za-z])")
+#: Runs that have room for the shortest hidden access id, 18 bytes.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+HEX_KEY = re.compile(r"[0-9A-Fa-f]{36,}")
+#: Signs of the alphabet also part names and paths, so what is encoded may begin behind any of them.
+STARTS = re.compile(r"\A|(?<=[+/_-])")
+#: Base64 of a DER sequence begins with M, of the OpenSSH magic with b3Bl.
+KEY_STARTS = re.compile(r"(?<![A-Za-z0-9])(?=M|b3Bl)")
+HIDDEN = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----|AKIA[A-Z0-9]{14,}")
 PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+#: Line ends as JSON and env files write them, escaped once or more.
+ESCAPED_END = re.compile(r"\\+[rn]")
 SSH_MAGIC = b"openssh-key-v1\x00"
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -66,9 +71,9 @@ def der_items(raw: bytes, start: int = 0, end: int | None = None) -> list[tuple[
     return found
 
 
-def is_der_key(raw: bytes) -> bool:
-    """Whether raw is one private key: plain RSA, DSA or EC, PKCS #8, or encrypted PKCS #8."""
-    top = der_items(raw)
+def is_der_key(raw: bytes, start: int = 0) -> bool:
+    """Whether raw from start on is one private key: plain RSA, DSA or EC, PKCS #8, or encrypted PKCS #8."""
+    top = der_items(raw, start)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     items = der_items(raw, *top[0][1:])
@@ -89,11 +94,11 @@ def is_der_key(raw: bytes) -> bool:
     return len(tags) >= 6 and set(tags[1:9]) == {0x02}  # version, then integers
 
 
-def is_ssh_key(raw: bytes) -> bool:
-    """Whether raw is an OpenSSH private key whose length fields lead exactly to its end."""
-    if not raw.startswith(SSH_MAGIC):
+def is_ssh_key(raw: bytes, start: int = 0) -> bool:
+    """Whether raw from start on is an OpenSSH private key whose length fields lead exactly to its end."""
+    if not raw.startswith(SSH_MAGIC, start):
         return False
-    at, sizes = len(SSH_MAGIC), []
+    at, sizes = start + len(SSH_MAGIC), []
     for step in ("s", "s", "s", "n", "s", "s"):  # cipher, kdf, kdf options, count of keys, public, private
         if at + 4 > len(raw):
             return False
@@ -114,16 +119,48 @@ def from_base64(text: str) -> bytes | None:
         return None
 
 
-def key_kind(raw: bytes | None) -> str | None:
-    if not raw:
+def whole_key(raw: bytes | None, start: int = 0) -> str | None:
+    """Which key raw is from start to its end."""
+    if not raw or start >= len(raw):
         return None
-    if raw[0] == 0x30 and is_der_key(raw):
+    if raw[start] == 0x30 and is_der_key(raw, start):
         return "der_key"
-    if is_ssh_key(raw):
-        return "ssh_key"
-    if re.match(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----|AKIA[A-Z0-9]{14,}", raw):
-        return "encoded"
-    return None
+    return "ssh_key" if is_ssh_key(raw, start) else None
+
+
+def hidden_at(raw: bytes | None) -> int | None:
+    """Where in raw a PEM block or an access id begins."""
+    if not raw or b"AKIA" not in raw and b"-----BEGIN " not in raw:
+        return None
+    m = HIDDEN.search(raw)
+    return m and m.start()
+
+
+def base64_keys(run: str) -> list[tuple[int, str]]:
+    """(start, kind) of what a run of base64 hides.
+
+    What stands before the encoded part may shift it, so the run is decoded at all four alignments.
+    Where something hidden has no start of its alignment before it, the span is the whole run."""
+    body, found = run.rstrip("="), []
+    starts, keys = [m.start() for m in STARTS.finditer(body)], [m.start() for m in KEY_STARTS.finditer(body)]
+    for k in range(4):
+        odd = (len(body) - k) % 4 == 1  # a character that ends no byte
+        raw = from_base64(body[k : len(body) - odd])
+        if not odd:
+            found += [(s, kind) for s in keys if s % 4 == k and (kind := whole_key(raw, (s - k) // 4 * 3))]
+        if (at := hidden_at(raw)) is not None:
+            found.append((next((s for s in starts if s % 4 == k and (s - k) // 4 * 3 <= at), 0), "encoded"))
+    return found
+
+
+def hex_keys(run: str) -> list[tuple[int, str]]:
+    """The same for a run of hex digits, of which one before or behind may be none of the encoded part's."""
+    found = []
+    for k in (0, 1):
+        raw = bytes.fromhex(run[k : len(run) - (len(run) - k) % 2])
+        if kind := whole_key(raw) or (hidden_at(raw) is not None and "encoded"):
+            found.append((k, kind))
+    return found
 
 
 def is_token_header(text: str) -> bool:
@@ -149,17 +186,17 @@ def added_spans(text: str) -> list[tuple[int, str, int]]:
     found = []
     if "." in text and ("ey" in text or "ew" in text):
         found += [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_token_header(m[1])]
-    for m in BASE64.finditer(text):
-        found += [(m.start() + k.start(), kind, m.end()) for k in STARTS.finditer(m[0]) if (kind := key_kind(from_base64(m[0][k.start() :])))]
-    found += [(m.start(1), kind, m.end()) for m in HEX_KEY.finditer(text) if len(m[1]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[1])))]
+    for pattern, keys in ((BASE64, base64_keys), (HEX_KEY, hex_keys)):
+        found += [(m.start() + k, kind, m.end()) for m in pattern.finditer(text) for k, kind in keys(m[0])]
     if "-----BEGIN " in text:
         for m in PEM_BEGIN.finditer(text):
             close = f"-----END {m[1]}-----"
             end = text.find(close, m.end())
             if end < 0:
                 continue
-            body = re.sub(r"^[A-Za-z-]+:.*$|\s", "", text[m.end() : end], flags=re.M)
-            if key_kind(from_base64(body)) in ("der_key", "ssh_key"):
+            body = ESCAPED_END.sub("\n", text[m.end() : end])
+            body = re.sub(r"^[A-Za-z-]+:.*$|\s", "", body, flags=re.M)
+            if whole_key(from_base64(body)):
                 found.append((m.start(), "pem_key", end + len(close)))
     return in_order(found)
 

@@ -201,6 +201,24 @@ def test_keys_behind_signs():
     assert kinds(f"KEY={base64.b64encode(key[:-3]).decode()}") == [] and kinds(f"0x{key[:-3].hex()}") == []
 
 
+def test_every_run_is_decoded():
+    """Escaped line ends in PEM blocks; access ids and PEM headers anywhere in what is encoded."""
+    coded, code = base64.b64encode(rsa_key()).decode(), lambda b: base64.b64encode(b).decode()
+    for end in (r"\n", r"\r\n", r"\\n"):
+        text = f'{{"private_key": "-----BEGIN PRIVATE KEY-----{end}{coded[:64]}{end}{coded[64:]}{end}-----END PRIVATE KEY-----{end}"}}'
+        assert ("pem_key", text[:17] + "[PEM_KEY]" + end + '"}') == (kinds(text)[0], S.redact(text))
+    headed = rf"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,PLAIN\n\n{coded}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(headed) == ["pem_key"]
+    access, pem = b"AKIA" + b"ABCDEFGH12345678", b"-----BEGIN PRIVATE KEY-----\n" + coded[:40].encode()
+    for inside in (access, b"aws_access_key_id=" + access, b"\n" + pem, b"a" + pem, b"\xff\x00" + access + b"\x00"):
+        for secret, fronts in ((code(inside), ("key ", "K=")), (inside.hex(), ("key ", "0x")), (inside.hex().upper(), ("K=", "0X"))):
+            for front in fronts:
+                assert S.added_spans(front + secret) == [(len(front), "encoded", len(front) + len(secret))]
+        assert kinds("x" + code(inside)) == ["encoded"]  # shifted by one
+    assert S.added_spans("a/bc/" + code(access)) == [(5, "encoded", 5 + len(code(access)))]
+    assert kinds(code(b"aws_access_key_id=AKIA12345")) == [] and kinds(code(bytes(range(200)))) == []
+
+
 def base_by_hand(text):
     found = []
     for kind, pattern, least in (("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)):
