@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import id_and_text, map_arrow, table
 from ledgerloom.llm.learning import fit_logistic, id_bucket, labelled_documents, sigmoid
 
-#: Labelled documents of each class that are fitted on, and code points of each that are read for that.
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
+#: Labelled documents of each class that are fitted on, each with its whole text.
+SAMPLE = 4000
 WINDOW, GRAM, NOVEL = 6, 5, 20
 BASE, DICTIONARY = 8192, 2048
 FOLDS = 3
@@ -120,7 +120,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
         if n >= least and len(run) + 1 + sum(len(x) + 1 for x in part) <= DICTIONARY and not any(run in x for x in part):
             part.append(run)
     marks = b"\xff".join(part[::-1])  # a byte that no text has keeps runs apart
-    samples = [w for text in ordinary for w in windows(text)[:40]]
+    samples = [w for text in ordinary for w in windows(text)]
     try:
         base = zstandard.train_dictionary(BASE, samples, k=32, d=6, level=3).as_bytes()[512:]
     except zstandard.ZstdError:  # too few samples to train on
@@ -145,9 +145,9 @@ def fit(sample: list[tuple[str, int]]) -> Model:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
-    """From labelled documents outside the held-out fold; text beyond SAMPLE_CHARS isn't needed for fitting."""
+    """From labelled documents outside the held-out fold, read whole as they are scored whole."""
     usable = id_bucket(F.col("doc_id"), FOLDS) != 1
-    rows = labelled_documents(docs, labels, "toxic", usable, SAMPLE, F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
+    rows = labelled_documents(docs, labels, "toxic", usable, SAMPLE, F.coalesce("text", F.lit("")).alias("text"))
     return fit([(r.text, r.y) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator()])
 
 

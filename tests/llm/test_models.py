@@ -45,6 +45,29 @@ def test_toxicity_query_shape(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit_on(docs.limit(0), labels)).count() == 0
 
 
+def test_toxicity_is_fitted_on_whole_texts(spark):
+    """What marks toxic text stands behind 20,000 characters of ordinary text."""
+    front = " ".join(t for t, y in texts(200, 4) if not y)
+    assert len(front) > 20_000
+    rows = [(k, f"{front} {t}", y) for k, (t, y) in enumerate(texts(90, 5))]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_on(docs, labels)
+    scorer = toxicity.Scorer(model)
+    assert all(w.encode() in model.toxic for w in BAD)
+    assert np.mean([(scorer.score(t) >= 0.5) == bool(y) for _, t, y in rows]) > 0.9
+
+
+def test_ordinary_base_is_trained_on_whole_texts():
+    """Ordinary words behind the 240th of every text reach the base."""
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    front, tail = [word("abcdefghijklm") for _ in range(200)], [word("nopqrstuvwxyz") for _ in range(200)]
+    ordinary = [" ".join([*rng.choices(front, k=240), *rng.choices(tail, k=240)]) for _ in range(200)]
+    base, _ = toxicity.train_dictionaries(["a b c"] * 10, ordinary)
+    assert np.mean([w.encode() in base for w in front]) > 0.9 and np.mean([w.encode() in base for w in tail]) > 0.9
+
+
 def test_held_out_labels_are_never_used(spark):
     labels = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
     used = learning.labelled_ids(labels, "toxic", learning.id_bucket(F.col("doc_id"), 3) != 1, 1000)
