@@ -193,7 +193,7 @@ def digest(found: np.ndarray) -> bytes | None:
 
 
 def sketch_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; null if empty) and regs of every whole text."""
+    """doc_id, text_hash, n_shingles, node (digest of the set; null if empty) and regs of every whole text."""
 
     def run(batches):
         for batch in batches:
@@ -201,9 +201,9 @@ def sketch_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             full = [s for s in sets if len(s)]
             regs = iter(sketches(full)) if full else iter(())
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_shingles", "node", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "text_hash", "n_shingles", "node", "regs"])
 
-    return map_arrow(id_and_text(docs), run, "doc_id long, n_shingles long, node binary, regs binary")
+    return map_arrow(id_and_text(docs, F.xxhash64("text").alias("text_hash")), run, "doc_id long, text_hash long, n_shingles long, node binary, regs binary")
 
 
 def in_block_pairs(rows: DataFrame, group: str, blocks: str) -> DataFrame:
@@ -302,7 +302,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, size:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, node, component_id and kept of every row.
+    """doc_id, text_hash, n_shingles, node, component_id and kept of every row.
 
     Small tables are written on the way: sketches, classes, members, edges and links; texts are
     shuffled once, for confirmation."""
@@ -319,14 +319,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     by_node = linked.join(named, "root").select("node", "component_id")
     alone = classes.join(by_node, "node", "left").select("node", F.coalesce("component_id", F.col("doc_id")).alias("component_id"))
     out = rows.drop("regs").join(alone, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", F.col("doc_id"))))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "node")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "node", "text_hash")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """All columns of docs; of each component the rows of its least doc_id stay, repeated rows once."""
+    """All columns of docs; of each component the rows of its least doc_id stay, repeated rows once.
+
+    Decisions hold for a doc_id with a text: its other texts stay, or go, with their own groups."""
     found = cut(near_duplicates(docs, size), "near")
-    dropped = found.where("not kept").select("doc_id").distinct()
-    rest = docs.join(dropped.hint("merge"), "doc_id", "left_anti")  # dropped grows: one plan at every size
+    dropped = found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    rest = docs.join(dropped.hint("merge"), same, "left_anti")  # dropped grows: one plan at every size
     twice = found.where("kept and doc_id is not null and node is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return rest
@@ -334,4 +337,4 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("node", "text_hash")

@@ -121,6 +121,17 @@ def test_one_of_each_group_stays(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_other_texts_of_an_id_stay(spark):
+    """A doc_id whose one text goes as a copy keeps another, alone or least of a group of its own."""
+    a, b, c, d = ("alpha beta gamma delta epsilon", "quite another text stands here", "third of the texts in here", "last one of them all today")
+    rows = [(1, a), (3, a.upper()), (3, b), (4, a), (4, c), (9, c), (9, d), (5, None), (None, a)]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, text_hash string")
+    out = near_dedup.keep_one(docs, 5)
+    found = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns
+    assert sorted(found, key=str) == sorted([(1, a), (3, b), (4, c), (9, d), (5, None), (None, a)], key=str)
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.8, 0.95):
