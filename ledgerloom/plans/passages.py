@@ -41,7 +41,7 @@ select conv_id, turn, bin from w"""
 
 
 def section_growth(spark, d):
-    chunks = P.chunked(table(spark, d, "documents").where("length(text) > 4000"), "doc_id", "text", 400, 80).withColumnRenamed("chunk", "text")
+    chunks = P.chunked(table(spark, d, "documents"), "doc_id", "text", 400, 80).withColumnRenamed("chunk", "text")
     score = F.round(F.pmod(F.xxhash64("text"), F.lit(1000)) / 1000, 3)
     return P.section_growth(chunks.withColumn("score", score).withColumn("kept", score > 0.9), "doc_id")
 

@@ -111,3 +111,11 @@ def test_entry_file(spark):
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len(names) > 60
     assert entry.entry(spark).count() == 10
+
+
+def test_section_growth_reads_short_documents(spark, tmp_path):
+    from ledgerloom.plans import catalogue
+
+    text = " ".join(f"word{k}" for k in range(300))
+    spark.createDataFrame([(k, f"{k} {text}") for k in range(60)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert len(text) < 4000 and catalogue.QUERIES["section_growth"](spark, str(tmp_path)).count() > 0
