@@ -22,8 +22,11 @@ def labelled_ids(labels: DataFrame, label: str, usable, rows: int) -> DataFrame:
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, usable, rows: int, *columns) -> DataFrame:
-    """The columns, and y, of the labelled sample's documents. At most 2 * rows ids are broadcast."""
-    return docs.join(F.broadcast(labelled_ids(labels, label, usable, rows)), "doc_id").select("doc_id", "y", *columns)
+    """doc_id, y and the columns of the labelled sample's documents, whatever other columns docs has.
+
+    At most 2 * rows ids are broadcast."""
+    ids = labelled_ids(labels.select("doc_id", label), label, usable, rows)
+    return docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -126,3 +126,27 @@ def test_additive_search_recall_and_odd_vectors(spark):
     assert additive_search.search(df.limit(0), lambda v: v == 0).count() == 0
     few = additive_search.search(df.where("vec_id < 3"), lambda v: v == 0, k=20).collect()
     assert len(few) == 2
+
+
+def test_labels_meet_any_other_columns(spark):
+    """Columns of documents may be called like those of the labelled sample."""
+    docs = spark.createDataFrame([(k, t, 0, 1, "c") for k, (t, _) in enumerate(texts(60, 3))], "doc_id long, text string, y int, half int, s string")
+    labels = spark.createDataFrame([(k, y, 1 - y, 5) for k, (_, y) in enumerate(texts(60, 3))], "doc_id long, toxic int, quality int, y int")
+    assert toxicity.score(docs, toxicity.fit_on(docs, labels)).count() == 60
+    ensemble = rule_ensemble.fit_on(docs, labels)
+    assert rule_ensemble.score(docs, ensemble).count() == 60
+    assert rule_ensemble.keep_good(docs, ensemble).columns == docs.columns
+
+
+def test_both_dictionaries_are_trained_on_their_class():
+    sample = texts(600, 1)
+    ordinary, toxic = toxicity.train_dictionaries([t for t, y in sample if y], [t for t, y in sample if not y])
+    assert all(w.encode() in toxic for w in BAD) and not any(w.encode() in ordinary for w in BAD)
+    assert ordinary[: len(toxicity.ANCHOR) + 4000] == toxic[: len(toxicity.ANCHOR) + 4000]
+
+
+def test_margins_reach_the_end_of_a_window():
+    """A marking word saves as much at the end of a window as in its middle."""
+    sample = texts(600, 1)
+    scorer = toxicity.Scorer(toxicity.Model(*toxicity.train_dictionaries([t for t, y in sample if y], [t for t, y in sample if not y]), [0.0] * (toxicity.N_FEATURES + 1)))
+    assert all(scorer.margins(t)[0] >= 2 for t in ("the on idiot of", "the on of idiot"))
