@@ -8,15 +8,19 @@ with v. So
     reach(u, v) = |u| + max(0, reach of earlier merges whose text starts with v or v with it)
 
 and the largest reach, `lookahead`, is enough: a token that ends at least so many symbols before
-the end of what has been read is stable, is emitted, and is forgotten. The buffer never holds
-more than lookahead + BLOCK symbols however long a word is. Words shorter than that, nearly all,
-are merged in one go and kept in a bounded cache.
+the end of what has been read is stable, is emitted, and is forgotten.
 
-Decoding is a state machine as well: tokens give bytes, complete UTF-8 sequences give text, and
-at most three bytes wait for the next token.
+A text is a stream of blocks. White space, and places between words, part what can be encoded
+apart; the words of a block are emitted with it, and a word that goes on beyond the block stays in
+a transducer that holds lookahead + BLOCK symbols at most, however long it is. Words that end
+before anything could be stable are merged in one go and kept in a bounded memo.
+
+Decoding is a state machine as well: ids give bytes, complete UTF-8 sequences give text, and at
+most three bytes wait for the next id. Ids reach digests and decoder block by block.
 
 Null texts are empty and give no ids; special strings in a text are special tokens, as the
-tokenizers library has them by default.
+tokenizers library has them by default. Each row is encoded by itself, so rows that repeat a
+doc_id or a text have equal results.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -38,6 +43,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.common import id_and_text, map_arrow, table, vocabulary
 
 BLOCK = 1024
+#: Code points of text that are read at once, and of a piece without white space from which on it is read in parts.
+READ, HOLD = 65_536, 4096
 #: Entries after which a cache starts anew: a bound on memory, which changes no result.
 PIECES, WORDS = 600_000, 400_000
 
@@ -85,6 +92,17 @@ class MergeModel:
             self.strings[k] = text
         self.symbols = byte_symbols()
 
+    @functools.cached_property
+    def token_bytes(self) -> list[bytes]:
+        """The bytes that each token stands for; special tokens stand for none."""
+        own = {s: b for b, s in enumerate(self.symbols)}
+        return [b"" if t in self.special else bytes(own[c] for c in t.removesuffix(self.suffix)) for t in self.strings]
+
+    @functools.cached_property
+    def library_bytes(self) -> list[bytes]:
+        """Each token's string behind a space, as UTF-8."""
+        return [f" {t}".encode() for t in self.strings]
+
     def merge(self, parts: list[str]) -> list[str]:
         """All merges, lowest rank first, leftmost first."""
         ranks = self.ranks
@@ -153,19 +171,35 @@ class Transducer:
             self.held = []
 
 
+def blocks(text: str, size: int = READ) -> Iterator[str]:
+    return (text[k : k + size] for k in range(0, len(text), size))
+
+
+@functools.cache
+def composing() -> frozenset[str]:
+    """Characters that may join the one before them when text is composed."""
+    pairs = (unicodedata.decomposition(chr(k)).split() for k in range(0xC0, sys.maxunicode + 1))
+    return frozenset([*(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"), *map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))])
+
+
 class Encoder(dict):
-    """Maps a piece between white space to its ids as little-endian 16-bit bytes."""
+    """Encodes streams of text; maps a piece between white space to its ids as 32-bit bytes.
+
+    The map is a memo of what the transducer gives for whole pieces and changes no result."""
 
     #: How the vocabulary splits pieces into words (fixed value).
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Separators that only some engines count as white space.
     ODD = re.compile(r"[\x1c-\x1f]")
+    SPACE = re.compile(r"[ \t-\r]")
 
     def __init__(self, model: MergeModel):
         import regex
 
         self.model, self.words, self.table = model, {}, dict(enumerate(model.symbols))
-        self.split, self.spaces = regex.compile(self.SPLIT).findall, regex.compile(r"\s+")
+        self.words_in, self.spaces = regex.compile(self.SPLIT), regex.compile(r"\s+")
+        self.split = self.words_in.findall
+        self.runs = {"letters": regex.compile(r"[\p{L}]*"), "signs": regex.compile(r"[^\s\p{L}\p{N}]*")}
         self.at_special = re.compile("(" + "|".join(map(re.escape, model.special)) + ")")
 
     @staticmethod
@@ -175,19 +209,22 @@ class Encoder(dict):
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
+    def symbols(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.table)
+
     def word(self, word: str) -> bytes:
         if (ids := self.words.get(word)) is None:
             if len(self.words) >= WORDS:
                 self.words.clear()
-            model, symbols = self.model, word.encode().decode("latin-1").translate(self.table)
-            if len(symbols) <= model.lookahead:  # nothing to emit before the end
+            model, symbols = self.model, self.symbols(word)
+            if len(symbols) <= model.lookahead:  # nothing is stable before the word's end
                 parts = [*symbols]
                 parts[-1] += model.suffix
                 found = [k for t in model.merge(parts) if (k := model.vocab.get(t)) is not None]
             else:
                 run = Transducer(model)
                 found = [*run.feed(symbols), *run.finish()]
-            ids = self.words[word] = array("H", found).tobytes()
+            ids = self.words[word] = array("I", found).tobytes()
         return ids
 
     def __missing__(self, piece: str) -> bytes:
@@ -196,16 +233,87 @@ class Encoder(dict):
         self[piece] = ids = b"".join(map(self.word, self.split(self.normal(piece))))
         return ids
 
+    def stream(self, text: Iterable[str], hold: int = HOLD) -> Iterator[array]:
+        """Ids of a text that arrives in blocks, each array as soon as it's stable.
+
+        Between blocks there is only the text behind the last white space. Once that is longer than
+        `hold`, it is read up to a place where words can be parted, and a word that goes on beyond
+        that place is a transducer that stays open."""
+        tail, going = "", None
+        for block in text:
+            tail += block
+            if at := self._behind_space(tail):
+                ids, going = self._emit(tail[:at], True, going)
+                tail = tail[at:]
+                yield ids
+            if len(tail) > hold and (at := self._place(tail)):
+                ids, going = self._emit(tail[:at], False, going)
+                tail = tail[at:]
+                yield ids
+        yield self._emit(tail, True, going)[0]
+
     def ids(self, text: str) -> list[int]:
-        out = b""
-        for k, part in enumerate(self.at_special.split(text) if "<|" in text else [text]):
+        return [k for ids in self.stream(blocks(text)) for k in ids]
+
+    @staticmethod
+    def _behind_space(text: str) -> int:
+        """The place behind the last white space, or 0."""
+        return 1 + max(map(text.rfind, " \n\t\r\x0b\x0c"))
+
+    def _place(self, tail: str) -> int:
+        """A place in text without white space at which its two sides may be normalised and parted apart.
+
+        Neither a special string nor a contraction lies across it, and no character joins the one before."""
+        for at in range(len(tail) - 64, 2, -1):
+            near = tail[at - 2 : at]
+            if not unicodedata.combining(tail[at]) and tail[at] not in composing() and ("'" not in near or near == "''"):
+                for m in self.at_special.finditer(tail) if "<|" in tail else ():
+                    if m.start() < at < m.end():
+                        at = m.start() or m.end()
+                return at
+        return 0
+
+    def _emit(self, text: str, closed: bool, going: tuple | None) -> tuple[array, tuple | None]:
+        """Ids of text, and the word that stays open at its end (its kind and transducer).
+
+        closed: no word of text goes on behind it; going: the word that text begins within."""
+        out = array("I")
+        parts = self.at_special.split(text) if "<|" in text else [text]
+        for k, part in enumerate(parts):
             if k % 2:
-                out += np.array([self.model.special[part]], "<u2").tobytes()
-            elif self.ODD.search(part):
-                out += b"".join(map(self.word, self.split(self.normal(self.spaces.sub(" ", part)))))
+                out.append(self.model.special[part])
+                continue
+            ends = closed or k < len(parts) - 1
+            if going:
+                cut = m.start() if (m := self.SPACE.search(part)) else len(part)
+                head, part = self.normal(part[:cut]), part[cut:]
+                more = self.runs[going[0]].match(head)[0]
+                out.extend(going[1].feed(self.symbols(more)))
+                if len(more) < len(head) or part or ends:
+                    out.extend(going[1].finish())
+                    going = None
+                    rest, going = self._words(head[len(more) :], ends or bool(part))
+                    out.frombytes(rest)
+            if ends and not self.ODD.search(part):
+                out.frombytes(b"".join(map(self.__getitem__, part.split())))
             else:
-                out += b"".join(map(self.__getitem__, part.split()))
-        return np.frombuffer(out, "<u2").tolist()
+                rest, new = self._words(self.normal(self.spaces.sub(" ", part)), ends)
+                out.frombytes(rest)
+                going = new or going
+        return out, going
+
+    def _words(self, text: str, ends: bool) -> tuple[bytes, tuple | None]:
+        """Ids of normalised text's words; unless it ends, a last one that may go on is left open."""
+        words = self.split(text)
+        if ends or not words or not text.endswith(words[-1]):
+            return b"".join(map(self.word, words)), None
+        last = words.pop()
+        kind = "letters" if last[0].isalpha() and self.runs["letters"].fullmatch(last) else "signs" if self.runs["signs"].fullmatch(last) else None
+        if kind is None:  # digits and contractions are whole
+            return b"".join(map(self.word, [*words, last])), None
+        run = Transducer(self.model)
+        begun = array("I", run.feed(self.symbols(last)))
+        return b"".join(map(self.word, words)) + begun.tobytes(), (kind, run)
 
 
 class Decoder:
@@ -217,31 +325,29 @@ class Decoder:
 
     def __init__(self, model: MergeModel, library: bool = False):
         self.model, self.library, self.begun = model, library, False
-        self.bytes = {s: b for b, s in enumerate(model.symbols)}
+        self.bytes = model.library_bytes if library else model.token_bytes
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        strings = self.model.strings
         if self.library:
-            text = " ".join(map(strings.__getitem__, ids))
-            text, self.begun = (" " + text if self.begun and text else text), self.begun or bool(text)
-            return text
+            raw = b"".join(map(self.bytes.__getitem__, ids))
+            raw, self.begun = raw if self.begun else raw[1:], self.begun or bool(raw)
+            return self.state.decode(raw)
         out, special, suffix = [], self.model.special, self.model.suffix
         for k in ids:
-            token = strings[k]
+            token = self.model.strings[k]
             if token in special:
                 out.append(self.state.decode(b"", True) + token)
                 self.state.reset()
                 continue
-            ends = bool(suffix) and token.endswith(suffix)
-            out.append(self.state.decode(bytes(self.bytes[c] for c in (token.removesuffix(suffix) if ends else token))))
-            if ends:
+            out.append(self.state.decode(self.bytes[k]))
+            if suffix and token.endswith(suffix):
                 out.append(self.state.decode(b"", True) + " ")
                 self.state.reset()
         return "".join(out)
 
     def finish(self) -> str:
-        return "" if self.library else self.state.decode(b"", True)
+        return self.state.decode(b"", True)
 
 
 @functools.cache
@@ -283,8 +389,8 @@ def decode_documents(encoded: DataFrame, vocab: str | None = None, library: bool
         for batch in batches:
             texts = []
             for ids in batch.column(1).to_pylist():
-                state = Decoder(model, library)
-                texts.append(state.feed(ids or []) + state.finish())
+                state, ids = Decoder(model, library), ids or []
+                texts.append("".join(state.feed(ids[k : k + READ]) for k in range(0, len(ids), READ)) + state.finish())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
@@ -293,29 +399,33 @@ def decode_documents(encoded: DataFrame, vocab: str | None = None, library: bool
 def round_trip_digests(docs: DataFrame, vocab: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids, and return both digests, and the ids if wanted.
 
-    Encoding and decoding stand in one pass, so ids needn't leave the worker."""
+    Text goes through encoder, decoder and digests block by block: beside the text itself and the
+    ids that are wanted, a block and what the transducer holds is all there is in memory."""
     path = vocab or vocabulary("word_bpe_49k.json")
     ahead = lookahead_of(path)
 
     def run(batches):
         enc = encoder(path, ahead)
-        decimal = [str(k) for k in range(len(enc.model.strings))]
-        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        decimal = [f" {k}" for k in range(len(enc.model.strings))]
+
+        def one(text: str) -> tuple[int, str, str, bytes]:
+            coded, back, state, n, kept = hashlib.sha256(), hashlib.sha256(), Decoder(enc.model, library=True), 0, b""
+            for ids in enc.stream(blocks(text)):
+                said = "".join(map(decimal.__getitem__, ids)).encode()
+                coded.update(said if n else said[1:])
+                back.update(state.feed(ids).encode())
+                n += len(ids)
+                kept += ids.tobytes() if with_ids else b""
+            back.update(state.finish().encode())
+            return n, coded.hexdigest(), back.hexdigest(), kept
+
         for batch in batches:
-            kept, n, coded, back = [], [], [], []
-            for text in batch.column(1):
-                ids = enc.ids(text.as_py())
-                state = Decoder(enc.model, library=True)
-                n.append(len(ids))
-                coded.append(sha(" ".join(map(decimal.__getitem__, ids))))
-                back.append(sha(state.feed(ids) + state.finish()))
-                if with_ids:
-                    kept.append(pa.array(ids, pa.int32()))
+            n, coded, back, kept = list(zip(*(one(text.as_py()) for text in batch.column(1)), strict=True)) or [()] * 4
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 ends = np.cumsum([0, *n]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(kept) if kept else pa.array([], pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(kept), "<u4").astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
