@@ -24,7 +24,7 @@ _made: dict[tuple, SpacePieces] = {}
 
 
 class SpacePieces(dict):
-    """Maps a piece, taken with a space before it, to its ids as little-endian 16-bit bytes.
+    """Maps a piece, taken with a space before it, to its ids as little-endian bytes, two or four for each.
 
     With rank_path, pieces are encoded by the rank form of the same vocabulary, which gives the
     same ids several times faster; a test holds the two against each other."""
@@ -35,6 +35,7 @@ class SpacePieces(dict):
         self.whole = Tokenizer.from_file(json_path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.ranked = None
         if rank_path:
             import tiktoken
@@ -51,7 +52,7 @@ class SpacePieces(dict):
 
     def _ids(self, text: str) -> bytes:
         ids = self.ranked.encode_ordinary(text) if self.ranked else self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u2").tobytes()
+        return np.array(ids, self.dtype).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
@@ -61,6 +62,6 @@ class SpacePieces(dict):
 
     def encode(self, text: str) -> bytes:
         if ODD.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         first, *rest = text.split(" ")
         return self._ids(first) + b"".join(map(self.__getitem__, rest))

@@ -88,10 +88,9 @@ class EliasFano:
             if len(ones) > need:
                 break
             need, at, start = need - len(ones), at + 64, (at + 64) * 8
-        low = 0
-        for k in range(self.low_bits):
-            j = i * self.low_bits + k
-            low |= (int(self.low[j // 8]) >> (j % 8) & 1) << k
+        first = i * self.low_bits
+        packed = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
+        low = packed >> first % 8 & ((1 << self.low_bits) - 1)
         return ((int(ones[need]) - i) << self.low_bits) | low
 
     def all(self) -> np.ndarray:
@@ -135,23 +134,24 @@ def write_token_table(docs: DataFrame, path: str, vocab: str | None = None, end_
 
         shard = TaskContext.get().partitionId()
         pieces = SpacePieces.cached(json_path, rank_path)
-        end = np.array([end_id], "<u2").tobytes()
+        width = pieces.dtype.itemsize
+        end = np.array([end_id], pieces.dtype).tobytes()
         segment, offset, held, keys, rows = 0, 0, 0, [], []
 
         def flush():
             nonlocal segment, offset, held, keys, rows
-            one = (shard, segment, len(keys), held, offset, pack_segment(keys, rows, 2))
+            one = (shard, segment, len(keys), held, offset, pack_segment(keys, rows, width))
             segment, offset, held, keys, rows = segment + 1, offset + held, 0, [], []
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, SEGMENT_TYPES, strict=True)], names=["shard", "segment", "n_docs", "n_ids", "shard_offset", "payload"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = pieces.encode(text.as_py()) + end
-                if held and held + len(ids) // 2 > segment_ids:
+                if held and held + len(ids) // width > segment_ids:
                     yield flush()
                 keys.append(key)
                 rows.append(ids)
-                held += len(ids) // 2
+                held += len(ids) // width
         if keys:
             yield flush()
 
@@ -166,6 +166,8 @@ SEGMENT_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.
 def read_token_table(spark: SparkSession, path: str) -> DataFrame:
     """From the files: each document's doc_id, start over all documents, ids and their checksum.
 
+    Where a document lies comes from select on the Elias-Fano sequence of ends.
+
     What reaches the driver is one total for each shard, of which there are as many as shuffle
     partitions, however many documents there are."""
     segments = spark.read.schema(SEGMENTS).parquet(path)
@@ -177,7 +179,7 @@ def read_token_table(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for shard, offset, payload in zip(*(batch.column(k) for k in ("shard", "shard_offset", "payload")), strict=True):
                 keys, ids, ends = unpack_segment(payload.as_py())
-                stops = ends.all()
+                stops = np.array([ends.select(k) for k in range(ends.n)])
                 starts = np.concatenate([[0], stops[:-1]])
                 wide = ids.astype("<u4")
                 sums = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]

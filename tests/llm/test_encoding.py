@@ -1,5 +1,6 @@
 """Operators 3, 6, 8: encoders against the libraries, rules against brute force."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -40,6 +41,30 @@ def test_transducer_equals_library(word_encoder):
         assert state.feed(ids[:2]) + state.feed(ids[2:]) + state.finish() == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_streams_equal_library(word_encoder):
+    """Texts in blocks that end anywhere: within words, contractions, special strings, composed characters."""
+    ours, theirs = word_encoder
+    letters = [*"ab'sÉé1.ñΣİ", "<|endoftext|>", "'ll", "e\u0301", "日本", "😀", "\u0301", "<|", "\u1112\u1161\u11ab"]
+    rng = random.Random(9)
+    for n in range(1500):
+        text = "".join(rng.choice(letters if n % 2 else [*letters, " ", "\n", "　"]) for _ in range(rng.randint(0, 200)))
+        found = [k for ids in ours.stream(bpe.blocks(text, rng.randint(1, 90)), rng.choice([70, 100])) for k in ids]
+        assert found == theirs.encode(text, add_special_tokens=False).ids
+    for text in ("x" * 20_000, "'" * 9000, "日本語" * 5000, "a1" * 6000, "a'll" * 4000, "!" * 9000 + "'s"):
+        assert ours.ids(text) == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_digests_equal_library(spark, word_encoder):
+    _, theirs = word_encoder
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    texts = [*ODD, "word " * 40_000, *made(random.Random(11), [*"ab'sÉé \n\t 1,.ñ", "<|endoftext|>"], 60)]
+    rows = {r.doc_id: r for r in bpe.round_trip_digests(frame(spark, texts).where("text is null or text <> 'again'"), with_ids=True).collect()}
+    for k, text in enumerate(texts):
+        ids = theirs.encode(text or "", add_special_tokens=False).ids
+        assert (rows[k].n_tokens, rows[k].ids) == (len(ids), ids)
+        assert rows[k].ids_sha256 == sha(" ".join(map(str, ids))) and rows[k].decoded_sha256 == sha(theirs.decode(ids, skip_special_tokens=False))
+
+
 def test_long_words_stream_with_constant_memory(word_encoder):
     ours, theirs = word_encoder
     rng = random.Random(2)
@@ -107,6 +132,21 @@ def test_token_table(spark, tmp_path):
     assert token_files.read_token_table(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_every_document_of_the_token_files(spark, tmp_path):
+    """Offsets, counts and checksums of all rows against the library; segments of four-byte ids as well."""
+    texts = [*ODD, *made(random.Random(12), [*"ab'sé \n\t 1,.", "long "], 300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_token_table(docs, str(tmp_path / "t"), segment_ids=500)
+    t, at = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), 0
+    for r in token_files.read_token_table(spark, str(tmp_path / "t")).orderBy("doc_id").collect():
+        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    wide = [np.array(x, "<u4").tobytes() for x in ([70_000, 1], [2], [99_999] * 5)]
+    keys, ids, ends = token_files.unpack_segment(token_files.pack_segment([None, 4, 9], wide, 4))
+    assert keys == [None, 4, 9] and ids.tolist() == [70_000, 1, 2, *[99_999] * 5] and [ends.select(k) for k in range(3)] == [2, 3, 8]
+
+
 def repeats_by_hand(words):
     places = {}
     for k in range(len(words) - 4):
