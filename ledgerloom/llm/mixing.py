@@ -1,15 +1,22 @@
 """Operator 4: mixing sources to target weights by Pareto order sampling. DataFrame functions only.
 
 Each source's target is its share of all words by weight, capped at CAP times its own words, the
-excess reshared by weight until none is above. A source that takes `rate` = target / size times
-its words gives every document floor(rate) certain whole copies. The remainder is a sample without
-replacement with inclusion probability p = rate - floor(rate), unequal between sources: documents
-are ranked by q = (u / (1 - u)) / (p / (1 - p)), u uniform by a hash of the row, and the smallest
-are taken until the sample has the words that the target still lacks, ending where it's nearest.
+excess reshared by weight until none is above. Within a source, documents are expected to be taken
+unequally often: expected copies grow with the root of a document's size, up to CAP,
 
-No source is ever sorted as a whole, as one may hold most rows: words are summed by (source,
-bucket of rank), the bucket in which the sample ends is found from those sums, and only its rows
-are ranked one by one. What every row then needs is its source's threshold.
+    expected = min(CAP, c * root of size)        c such that expected * size adds up to the target
+
+(in proportion to size itself, short documents would hardly ever be taken; the root leaves them a
+share). floor(expected) copies are certain. The rest, p = expected - floor(expected), is a Pareto
+order sample with inclusion probabilities p: documents are ranked by q = (u / (1 - u)) / (p / (1 - p)),
+u uniform by a hash of the row, and the smallest are taken until the sample has the words that the
+target still lacks after certain copies, ending where it's nearest. The sample's fixed size is thus
+one of words, as targets are.
+
+No source is ever sorted as a whole, as one may hold most rows: words are summed by (source, size)
+for c, and by (source, bucket of rank) for the sample's end; that bucket is dealt into finer ones,
+and only the rows of the last are ranked one by one. What every row then needs is one row of its
+source. Weights, sums and targets are whole numbers or exact decimals, so order changes nothing.
 
 Null texts have size 0, null sources are one source, last in order; rows that are alike in every
 hashed column share their fate. An empty table gives an empty result.
@@ -24,7 +31,7 @@ from ledgerloom.llm.common import WORD, cut, table
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
-#: Buckets of rank for each source.
+#: Buckets of rank for each source, and into how many finer ones the sample's last one is dealt.
 BUCKETS = 2048
 SEED = 20_240_101
 
@@ -56,45 +63,90 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
     level = (F.col("total") - F.coalesce(F.sum(room).over(before), F.lit(0.0))) / F.sum("weight").over(after)
     levelled = weighted.withColumn("candidate", level).withColumn("level", F.max("candidate").over(everything))
     target = F.least(room.cast("double"), F.col("level") * F.col("weight"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate + 1e-12)
-    return levelled.withColumn("target", target).withColumn("copies", copies.cast("long")).withColumn("p", F.greatest(rate - copies, F.lit(0.0))).select("source", "source_size", "target", "copies", "p")
+    return levelled.withColumn("target", target).select("source", "source_size", "target")
+
+
+def tilt(size: Column) -> Column:
+    """What expected copies are in proportion to, as a whole number."""
+    return F.floor(1024 * F.sqrt(size.cast("double"))).cast("long")
+
+
+def copy_rates(sizes: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
+    """targets with `rate`: c for each source. sizes: source and size (above 0) of each document.
+
+    The windows span a source's distinct sizes, largest first: those before the rate's own are at the cap."""
+    by_size = sizes.groupBy("source", "size").agg(F.count("*").alias("n")).withColumn("words", (F.col("n") * F.col("size")).cast("decimal(38,0)"))
+    order = Window.partitionBy("source").orderBy(F.desc("size"))
+    full = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("decimal(38,0)"))
+    rest = F.sum((F.col("words") * tilt(F.col("size"))).cast("decimal(38,0)")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    open_ = by_size.select(F.col("source").alias("s"), full.cast("double").alias("full"), rest.cast("double").alias("rest"))
+    levels = targets.join(open_, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(F.max((F.col("target") - cap * F.col("full")) / F.col("rest")).alias("rate"))
+    return targets.join(levels, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
+
+def expected_copies(rate: Column, size: Column, cap: float = CAP) -> Column:
+    return F.coalesce(F.least(F.lit(float(cap)), rate * tilt(size)), F.lit(0.0))
 
 
-def ranked(rows: DataFrame, of_source: DataFrame, key: list[str]) -> DataFrame:
-    """rows (key columns, source, size) beside their source's row, with __order, led by q, and __bucket.
+def with_shares(rows: DataFrame, of_source: DataFrame, cap: float = CAP) -> DataFrame:
+    """rows (source, size, ...) beside their source's row, with certain `copies`, and p of one more.
 
     of_source has one row for each source; adaptive execution broadcasts it when its measured size
     allows, and else joins by sorting and splits a hot source."""
+    with_plan = rows.join(of_source.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    expected = expected_copies(F.col("rate"), F.col("size"), cap)
+    copies = F.floor(expected + 1e-9)
+    return with_plan.withColumn("copies", copies.cast("long")).withColumn("p", F.when(expected - copies > 1e-9, expected - copies).otherwise(F.lit(0.0)))
+
+
+def ranked(shared: DataFrame, key: list[str]) -> DataFrame:
+    """with_shares' rows with __order, led by q, and __place: q / (q + 1 / typical odds of the source), in 0..1."""
     u, odds = uniform(*key, "size"), F.col("p") / (1 - F.col("p"))
     q = F.when(F.col("p") > 0, u / (1 - u) / odds)
-    with_plan = rows.join(of_source.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    # q * odds / (1 + q * odds) is u again, whatever p is: buckets are even
-    return with_plan.withColumn("__order", F.struct(q.alias("q"), F.xxhash64(F.lit(SEED + 1), *key, "size").alias("tie"))).withColumn("__bucket", F.floor(u * BUCKETS).cast("int"))
+    return shared.withColumn("__order", F.struct(q.alias("q"), F.xxhash64(F.lit(SEED + 1), *key, "size").alias("tie"))).withColumn("__place", q / (q + 1 / F.col("typical")))
+
+
+def bucket_of(parts: int) -> Column:
+    """Buckets grow with rank; `typical` odds make them about even."""
+    return F.floor(F.col("__place") * parts).cast("long")
+
+
+def sample_end(rows: DataFrame, bucket: Column, left: str) -> DataFrame:
+    """source, __end and left_in of each source: the bucket in which its sample ends, and the words that it lacks there."""
+    run = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.groupBy("source", F.col(left).alias("lacking"), bucket.alias("__b")).agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(run))
+    return sums.where("upto >= lacking and upto - words < lacking").select(F.col("source").alias("e_source"), F.col("__b").alias("__end"), (F.col("lacking") - F.col("upto") + F.col("words")).alias("left_in"))
 
 
 def mix_plan(sizes: DataFrame, key: list[str], weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """The mix in one row for each source: source_targets, and where the source's sample ends."""
-    targets = cut(source_targets(sizes.select("source", "size"), weights, cap), "targets")
-    rows = ranked(sizes.where("size > 0"), targets.withColumn("lacking", F.col("target") - F.col("copies") * F.col("source_size")), key).where("p > 0 and lacking > 0")
-    run = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.groupBy("source", "lacking", "__bucket").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(run))
-    ends = sums.where("upto >= lacking and upto - words < lacking").select(F.col("source").alias("e_source"), F.col("__bucket").alias("e_bucket"), (F.col("lacking") - F.col("upto") + F.col("words")).alias("left"))
-    ends = cut(ends, "ends")
-    inside = rows.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("__bucket") == F.col("e_bucket")))
+    """The mix in one row for each source: target, rate, and where the source's sample ends."""
+    some = sizes.where("size > 0")
+    rates = cut(copy_rates(some.select("source", "size"), source_targets(sizes.select("source", "size"), weights, cap), cap), "rates")
+    by_size = some.groupBy("source", "size").agg(F.count("*").alias("n"))
+    typical = F.sum(F.col("n") * F.col("p")) / F.sum(F.col("n"))
+    sums = with_shares(by_size, rates, cap).groupBy("source").agg(F.sum(F.col("n") * F.col("copies") * F.col("size")).alias("certain"), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.round(typical, 6))).alias("mean"))
+    sums = sums.select(F.col("source").alias("s"), "certain", (F.col("mean") / (1 - F.col("mean"))).alias("typical"))
+    targets = cut(rates.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("lacking", F.col("target") - F.col("certain")), "targets")
+    rows = ranked(with_shares(some, targets, cap).where("p > 0 and lacking > 0"), key)
+    ends = cut(sample_end(rows, bucket_of(BUCKETS), "lacking"), "ends")
+    inside = rows.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (bucket_of(BUCKETS) == F.col("__end")))
+    finer = cut(sample_end(inside.drop("e_source", "__end"), bucket_of(BUCKETS * BUCKETS), "left_in").withColumnRenamed("left_in", "left"), "finer")
+    inside = rows.join(finer, F.col("source").eqNullSafe(F.col("e_source")) & (bucket_of(BUCKETS * BUCKETS) == F.col("__end")))
     run = Window.partitionBy("e_source").orderBy("__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = inside.groupBy("e_source", "left", "__order").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(run))
     # a row is in if the sample with it is no farther from the target than without it
     last = near.where("upto - left <= left - (upto - words)").groupBy("e_source").agg(F.max("__order").alias("last"))
-    limits = ends.select(F.col("e_source").alias("b_source"), "e_bucket").join(last, F.col("b_source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
+    limits = finer.select(F.col("e_source").alias("b_source"), "__end").join(last, F.col("b_source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
     return cut(targets.join(limits, F.col("source").eqNullSafe(F.col("b_source")), "left").drop("b_source"), "mix")
 
 
-def copies_of(rows: DataFrame, plan: DataFrame, key: list[str]) -> DataFrame:
+def copies_of(rows: DataFrame, plan: DataFrame, key: list[str], cap: float = CAP) -> DataFrame:
     """rows with source_size, target and n_copies."""
-    inside = (F.col("__bucket") < F.col("e_bucket")) | ((F.col("__bucket") == F.col("e_bucket")) & (F.col("__order") <= F.col("last")))
+    fine = bucket_of(BUCKETS * BUCKETS)
+    # where the words that are lacking exceed those of all with p, every one of them is in
+    inside = F.when(F.col("__end").isNull(), F.col("lacking") > 0).otherwise((fine < F.col("__end")) | ((fine == F.col("__end")) & F.coalesce(F.col("__order") <= F.col("last"), F.lit(False))))
     n = F.col("copies") + F.when((F.col("p") > 0) & inside, 1).otherwise(0)
-    return ranked(rows, plan, key).select(*(F.col(f"`{c}`") for c in rows.columns), "source_size", "target", n.cast("long").alias("n_copies"))
+    return ranked(with_shares(rows, plan, cap), key).select(*(F.col(f"`{c}`") for c in rows.columns), "source_size", "target", n.cast("long").alias("n_copies"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

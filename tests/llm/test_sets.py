@@ -2,6 +2,7 @@
 
 import base64
 import json
+import math
 import random
 import re
 
@@ -65,6 +66,58 @@ def test_mixed_rows(spark):
     assert out.agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == plan
 
 
+def pareto_by_hand(rows, wanted):
+    """words taken of each row: (source, size, u, tie) with targets by source."""
+    taken = {}
+    for source, target in wanted.items():
+        mine = [(k, size, u, tie) for k, (s, size, u, tie) in enumerate(rows) if s == source]
+        low, high = 0.0, 3.0
+        root = lambda size: int(1024 * math.sqrt(size))
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(3, c * root(size)) * size for _, size, _, _ in mine) < target else (low, c)
+        ranks, lacking = [], target
+        for k, size, u, tie in mine:
+            e = min(3, high * root(size))
+            copies = math.floor(e + 1e-9)
+            p = e - copies
+            taken[k] = copies * size
+            lacking -= copies * size
+            if p > 1e-9:
+                ranks.append((u / (1 - u) / (p / (1 - p)), tie, k, size))
+        groups = {}
+        for q, tie, k, size in ranks:
+            groups.setdefault((q, tie), []).append((k, size))
+        got = 0
+        for group in sorted(groups):
+            words = sum(size for _, size in groups[group])
+            if lacking <= 0 or got >= lacking or abs(got + words - lacking) > abs(got - lacking):
+                break
+            got += words
+            for k, size in groups[group]:
+                taken[k] += size
+    return [taken[k] for k in range(len(rows))]
+
+
+def test_mixing_by_hand(spark):
+    """Certain copies and the Pareto sample, row by row; extra columns clash with the operator's own."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 5, 30, 31, 32, 200, 900])), rng.choice(["a", "b", "b", "b", "c", None]), 1.0, 2) for k in range(700)]
+    docs = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string, source string, p double, size int")
+    u = mixing.uniform(F.col("doc_id"), F.col("h"), F.col("n"))
+    tie = F.xxhash64(F.lit(mixing.SEED + 1), "doc_id", "h", "n")
+    keys = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("n"), F.xxhash64("text").alias("h")).select("doc_id", "source", "n", u.alias("u"), tie.alias("tie")).collect()
+    sizes = {}
+    for r in keys:
+        sizes[r.source] = sizes.get(r.source, 0) + r.n
+    wanted = pareto_by_hand([(r.source, r.n, r.u, r.tie) for r in keys], water_fill(sizes))
+    found = {}
+    for r in mixing.mix_documents(docs).collect():
+        found.setdefault(r.doc_id, set()).add(r.taken)
+    assert found == {r.doc_id: {t} for r, t in zip(keys, wanted)}
+    assert len({r.taken / r.size for r in mixing.mix_documents(docs).where("source_size > 0 and size > 0").select("taken", "size").collect()}) > 2
+
+
 def near_copies():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
