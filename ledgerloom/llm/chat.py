@@ -29,7 +29,8 @@ from ledgerloom.llm.common import table
 #: Control strings of the template (fixed values).
 CONTROL = r"(<|\[)(s>|/s>|INST\]|/INST\])"
 TURN = r"(?s)<s>.*?</s>|\[INST\].*?\[/INST\]"
-ASSISTANT = "assistant"
+ASSISTANT, OPEN, CLOSE = "assistant", "<s>", "</s>"
+MARKS = len(OPEN) + len(CLOSE)
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -45,7 +46,7 @@ def unescaped(text: Column) -> Column:
 
 def render(role: Column, text: Column, level: int) -> Column:
     body = escaped(text, level)
-    return F.when(role == ASSISTANT, F.concat(F.lit("<s>"), body, F.lit("</s>"))).otherwise(F.concat(F.lit("[INST]"), F.url_encode(role), F.lit("\n"), body, F.lit("[/INST]")))
+    return F.when(role == ASSISTANT, F.concat(F.lit(OPEN), body, F.lit(CLOSE))).otherwise(F.concat(F.lit("[INST]"), F.url_encode(role), F.lit("\n"), body, F.lit("[/INST]")))
 
 
 def parse(formatted: Column) -> Column:
@@ -55,7 +56,7 @@ def parse(formatted: Column) -> Column:
         inner = F.regexp_replace(raw, r"^\[INST\]|\[/INST\]\z", "")
         own = F.struct(F.lit(ASSISTANT).alias("role"), unescaped(F.regexp_replace(raw, r"^<s>|</s>\z", "")).alias("text"))
         other = F.struct(F.url_decode(F.substring_index(inner, "\n", 1)).alias("role"), unescaped(F.regexp_replace(inner, r"^[^\n]*\n", "")).alias("text"))
-        return F.when(raw.startswith("<s>"), own).otherwise(other)
+        return F.when(raw.startswith(OPEN), own).otherwise(other)
 
     return F.transform(F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0)), turn)
 
@@ -72,31 +73,36 @@ def round_tripped(role: Column, text: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, and loss_spans: (start, length) in code points of each assistant text, still escaped.
+    """conv_id, formatted, and loss_spans: the loss mask, a span for each assistant text, still escaped.
 
-    rows: conv_id, turn, role, text. Offsets are running sums over the conversation's turns."""
+    rows: conv_id, turn, role, text. Spans are given in code points (start, length) and in bytes of
+    UTF-8 (byte_start, byte_length), as running sums over the conversation's turns."""
     turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("part", round_tripped(F.col("role"), F.col("text")))
     order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")]
     run = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    length = F.char_length("part").cast("long")
-    placed = turns.withColumn("start", F.coalesce(F.sum(length).over(run), F.lit(0)).cast("long")).withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
+    length, size = F.char_length("part").cast("long"), F.octet_length("part").cast("long")
+    before = lambda n: F.coalesce(F.sum(n).over(run), F.lit(0)).cast("long")
+    placed = turns.withColumn("start", before(length)).withColumn("byte_start", before(size)).withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
     mine = F.col("role") == ASSISTANT
     grouped = placed.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"),
-        F.array_sort(F.collect_list(F.when(mine, F.struct((F.col("start") + 3).alias("start"), (length - 7).alias("length"))))).alias("loss_spans"),
+        F.array_sort(F.collect_list(F.when(mine, F.struct((F.col("start") + len(OPEN)).alias("start"), (length - MARKS).alias("length"), (F.col("byte_start") + len(OPEN)).alias("byte_start"), (size - MARKS).alias("byte_length"))))).alias("loss_spans"),
     )
     return grouped.select("conv_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("formatted"), "loss_spans")
 
 
+def masked_texts(formatted: Column, spans: Column) -> Column:
+    """What stands under the mask, span by span, unescaped. The outer step binds the bytes once for all spans."""
+    cut = lambda raw: F.transform(spans, lambda s: unescaped(F.substring(raw, s["byte_start"].cast("int") + 1, s["byte_length"].cast("int")).cast("string")))
+    return F.flatten(F.transform(F.array(formatted.cast("binary")), cut))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the parser finds in `formatted`, and of the text under the loss mask."""
-    parsed = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
+    """Digests of what the parser finds in `formatted`, and of the text under the loss mask there."""
+    parsed = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.array_join(masked_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == ASSISTANT), lambda t: t["text"]), "")
-    return parsed.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars")).select(
-        "conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"
-    )
+    return parsed.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

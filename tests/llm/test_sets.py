@@ -1,6 +1,7 @@
 """Operators 4, 7, 9, 10 and the pipeline: brute force, round trips, odd rows."""
 
 import base64
+import hashlib
 import json
 import math
 import random
@@ -217,6 +218,21 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_digests_by_hand(spark):
+    """Every digest against the source; the loss is read through the mask, so a wrong mask shows."""
+    rng = random.Random(15)
+    rows = [(k // 4, k % 4, rng.choice(["user", "assistant"]), rng.choice([None, "x" * 5000, "".join(rng.choice(CONTROL) for _ in range(rng.randint(0, 9)))])) for k in range(400)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for r in chat.read_back(made).collect():
+        mine = [(role, text or "") for c, _, role, text in rows if c == r.conv_id]
+        loss = "".join(x for role, x in mine if role == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (4, sha("".join(f"{a}\n{x}\n" for a, x in mine)))
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
+    shifted = made.withColumn("loss_spans", F.expr("transform(loss_spans, s -> named_struct('byte_start', s.byte_start, 'byte_length', s.byte_length + 1))")).where("size(loss_spans) > 0")
+    assert chat.read_back(shifted).exceptAll(chat.read_back(made)).count() == shifted.count() > 50
+
+
 def der(tag, body):
     size = len(body)
     head = bytes([size]) if size < 128 else bytes([0x80 + (size.bit_length() + 7) // 8]) + size.to_bytes((size.bit_length() + 7) // 8, "big")
