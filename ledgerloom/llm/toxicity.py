@@ -249,8 +249,9 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
             x = [scorers[half].features(text.as_py()) for half, text in zip(batch.column(1).to_pylist(), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    judged = map_arrow(labelled.select("y", "half", "text"), judge, "y int, x array<double>").orderBy("y", "x").collect()
-    return Model(*pairs[2], fit_logistic(np.array([r.x for r in judged]), np.array([r.y for r in judged]), RIDGE).tolist())
+    judged = map_arrow(labelled.select("y", "half", "text"), judge, "y int, x array<double>").collect()
+    judged = sorted((r.y, r.x) for r in judged)  # sums of doubles in one order
+    return Model(*pairs[2], fit_logistic(np.array([x for _, x in judged]), np.array([y for y, _ in judged]), RIDGE).tolist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
