@@ -7,13 +7,17 @@ search over the sums. An inner product is estimated by adding LEVELS entries of
 table, scaled by stored norm over norm of the sum; the best sixteenth of each block's
 estimates are scored again, exactly and in double precision, on the original vectors.
 
-Every vector is indexed and every query meets every block. Rows are dealt into blocks of candidates
-and blocks of queries, and each pair of blocks is one group of bounded size; each group returns at
-most k rows for each of its queries, from which the nearest k are kept.
+Every vector is indexed, in the coarse cell whose direction is nearest to its own. A query visits
+cells in order of inner product with their directions, as many as on the sample hold PROBED of
+sampled queries' true neighbours; clustered vectors need few, vectors without structure most.
+Cells of more than CANDIDATE_BLOCK vectors are dealt into blocks, queries into blocks of
+QUERY_BLOCK, and each pair of blocks is one group of bounded size that returns at most k rows for
+each of its queries, from which the nearest k are kept.
 
 Vectors that are null, empty, zero, of another dimension than the most common one, or that hold null
-or non-finite components take no part, nor do rows without an id. Equal scores are ordered by id,
-and an id's own rows are never its neighbours.
+or non-finite components take no part, nor do rows without an id. Rows with one vec_id count once,
+by the least of their vectors, so each query has one list and no neighbour twice. Equal scores are
+ordered by id, and an id is never its own neighbour.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ledgerloom.llm.common import cut, table
 
@@ -30,16 +35,20 @@ LEVELS, CODES, BEAM, K = 12, 256, 4, 20
 SHORT = 16
 #: Vectors that codebooks are fitted on, the first by a hash of their ids.
 SAMPLE = 8192
-CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 2_048
+CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 16_384
+#: Queries whose lookup tables are held at once.
+TABLES = 256
+#: Coarse cells, one for 32 vectors of the sample at most; share of true neighbours that visited cells must hold, and queries that measure it.
+CELLS, PROBED, MEASURED = 64, 0.97, 256
 QUERY_EVERY = 20
 
 
 def proper(rows: DataFrame) -> DataFrame:
-    """vec_id and embedding (double) of the rows that take part, whatever their dimension."""
-    e = F.col("embedding")
+    """vec_id and embedding of the rows that take part, whatever their dimension; components stay as wide as they are."""
+    e, kind = F.col("embedding"), rows.schema["embedding"].dataType
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(e, lambda x: x != 0)
-    return rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & ~F.coalesce(bad, F.lit(True)) & some).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding"))
+    return rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & ~F.coalesce(bad, F.lit(True)) & some).select(F.col("vec_id").cast("long").alias("vec_id"), (e if isinstance(kind.elementType, FloatType | DoubleType) else e.cast("array<double>")).alias("embedding"))
 
 
 def nearest_codes(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -93,13 +102,45 @@ def fit_codebooks(sample: np.ndarray, levels: int = LEVELS, codes: int = CODES,
     return books
 
 
+def fit_cells(sample: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """Unit directions of the cells, by k-means on directions."""
+    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    cells = max(1, min(cells, len(x) // 32))
+    book = x[np.random.default_rng(13).permutation(len(x))[:cells]].copy()
+    for _ in range(10):
+        own = (x @ book.T).argmax(1)
+        for k in range(cells):
+            mean = x[own == k].sum(0)
+            if (size := np.linalg.norm(mean)) > 0:
+                book[k] = mean / size
+    return book
+
+
+def cells_to_visit(sample: np.ndarray, book: np.ndarray, k: int) -> int:
+    """How many cells, in a query's order, hold PROBED of the true neighbours of MEASURED sampled queries."""
+    queries = sample[: min(MEASURED, len(sample))]
+    scores = queries @ sample.T
+    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1 or len(book) < 2:
+        return len(book)
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(queries @ book.T), axis=1, kind="stable"), axis=1)
+    ranks = np.take_along_axis(place, own_cell(sample, book)[best], axis=1)
+    held = np.array([(ranks < n).mean() for n in range(1, len(book) + 1)])
+    return int(np.argmax(held >= PROBED)) + 1
+
+
+def own_cell(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return (x @ book.T).argmax(1)
+
+
 def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int = K, short: int | None = None) -> tuple[np.ndarray, ...]:
     """Query ids, ids and exact scores of the k best in the block for each query. ids must ascend."""
     levels, out = len(books), ([], [], [])
     scale = norms / np.maximum(np.linalg.norm(decode(codes, books), axis=1), 1e-12)
     flat = codes.astype(np.int64) + np.arange(levels) * books.shape[1]
-    tables = queries @ books.reshape(-1, books.shape[2]).T
-    for q, lut in enumerate(tables):
+    for q, lut in lookup_tables(queries, books):
         estimate = lut[flat[:, 0]]
         for level in range(1, levels):
             estimate += lut[flat[:, level]]
@@ -108,7 +149,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         n = min(short or max(8 * k, -(-len(ids) // SHORT)), len(ids))
         limit = np.partition(estimate, len(ids) - n)[len(ids) - n]
         above = np.flatnonzero(estimate > limit)
-        level_with = np.flatnonzero(estimate == limit)  # copies tie: all of them go by exact score and id
+        level_with = np.flatnonzero(estimate == limit)  # copies tie; the least ids of them are enough
         found = np.concatenate([above, level_with[: max(n - len(above), k)]])
         found = found[ids[found] != query_ids[q]]
         exact = exact_scores(vectors[found], queries[q])
@@ -119,6 +160,13 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     return tuple(np.concatenate(x) if x else np.empty(0) for x in out)
 
 
+def lookup_tables(queries: np.ndarray, books: np.ndarray):
+    """(number, table) of each query: its inner products with all entries of all codebooks."""
+    flat = books.reshape(-1, books.shape[2]).T
+    for k in range(0, len(queries), TABLES):
+        yield from enumerate(queries[k : k + TABLES] @ flat, k)
+
+
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products summed in the order of components, the same in any block."""
     return np.cumsum(vectors * query, axis=1)[:, -1] if len(vectors) else np.empty(0)
@@ -126,37 +174,44 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 def search(rows: DataFrame, is_query, k: int = K, levels: int = LEVELS, codes: int = CODES) -> DataFrame:
     """query_id, rank, vec_id and score; rows has vec_id and embedding, is_query tells queries by vec_id."""
-    vectors = proper(rows)
+    vectors, session = proper(rows), rows.sparkSession
     sizes = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     result = "query_id long, vec_id long, score double"
     if sizes is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors = vectors.where(F.size("embedding") == sizes["d"])
-    sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").select("embedding").limit(SAMPLE).toLocalIterator()])
-    books = fit_codebooks(sample, levels, codes)
+        return session.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    vectors = vectors.where(F.size("embedding") == sizes["d"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    vectors = cut(vectors, "vectors")
+    sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(SAMPLE).toLocalIterator()], np.float64)
+    books, cells = fit_codebooks(sample, levels, codes), fit_cells(sample)
+    visited = cells_to_visit(sample, cells, k)
+    kind = vectors.schema["embedding"].dataType.simpleString()
 
     def index(batches):
         for batch in batches:
-            x = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            x = np.array(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
             if len(x):
                 packed = encode(x, books)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(np.linalg.norm(x, axis=1))], names=["vec_id", "embedding", "codes", "norm"])
+                order = np.argsort(-(x @ cells.T), axis=1, kind="stable")[:, :visited]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(np.linalg.norm(x, axis=1)), pa.array([*order.astype(np.int32)], pa.list_(pa.int32()))], names=["vec_id", "embedding", "codes", "norm", "cells"])
 
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    indexed = cut(vectors.mapInArrow(index, "vec_id long, embedding array<double>, codes binary, norm double"), "index")
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    indexed = cut(vectors.mapInArrow(index, f"vec_id long, embedding {kind}, codes binary, norm double, cells array<int>"), "index")
     asked = indexed.where(is_query(F.col("vec_id")))
-    n_blocks, n_asked = -(-sizes["count"] // CANDIDATE_BLOCK), max(1, -(-asked.count() // QUERY_BLOCK))
-    # each row goes to one block, and a copy of it to every block of the other kind
-    place = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = indexed.select(place(n_blocks).alias("block"), copies(n_asked).alias("part"), F.lit(False).alias("asked"), "vec_id", "embedding", "codes", "norm")
-    queries = asked.select(copies(n_blocks).alias("block"), place(n_asked).alias("part"), F.lit(True).alias("asked"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"))
+    # cells are few, and so are their sizes
+    blocks = {r.cell: -(-r.n // CANDIDATE_BLOCK) for r in indexed.groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n")).collect()}
+    n_asked = max(1, -(-asked.count() // QUERY_BLOCK))
+    of_cell = F.create_map(*(F.lit(x) for kv in (blocks or {0: 1}).items() for x in kv))
+    place = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    candidates = indexed.withColumn("cell", F.col("cells")[0]).select("cell", place(of_cell[F.col("cell")]).alias("block"), copies(F.lit(n_asked)).alias("part"), F.lit(False).alias("asked"), "vec_id", "embedding", "codes", "norm")
+    sent = asked.select("vec_id", "embedding", F.explode("cells").alias("cell")).withColumn("n", of_cell[F.col("cell")]).where("n is not null")
+    queries = sent.select("cell", copies(F.col("n")).alias("block"), place(F.lit(n_asked)).alias("part"), F.lit(True).alias("asked"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"))
     both = candidates.unionByName(queries)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("vec_id", "ascending")])
         asked = group["asked"].to_numpy()
-        ids, x = group["vec_id"].to_numpy(), np.array(group["embedding"].combine_chunks().flatten()).reshape(group.num_rows, -1)
+        ids, x = group["vec_id"].to_numpy(), np.array(group["embedding"].combine_chunks().flatten(), np.float64).reshape(group.num_rows, -1)
         mine, theirs = np.flatnonzero(asked), np.flatnonzero(~asked)
         if not len(mine) or not len(theirs):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -164,7 +219,7 @@ def search(rows: DataFrame, is_query, k: int = K, levels: int = LEVELS, codes: i
         q, v, s = search_block(x[mine], ids[mine], x[theirs], ids[theirs], codes, group["norm"].to_numpy()[theirs], books, k)
         return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
 
-    found = both.groupBy("block", "part").applyInArrow(run, result)
+    found = both.groupBy("cell", "block", "part").applyInArrow(run, result)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

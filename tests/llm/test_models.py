@@ -150,3 +150,24 @@ def test_margins_reach_the_end_of_a_window():
     sample = texts(600, 1)
     scorer = toxicity.Scorer(toxicity.Model(*toxicity.train_dictionaries([t for t, y in sample if y], [t for t, y in sample if not y]), [0.0] * (toxicity.N_FEATURES + 1)))
     assert all(scorer.margins(t)[0] >= 2 for t in ("the on idiot of", "the on of idiot"))
+
+
+def test_search_counts_an_id_once(spark):
+    """Repeated rows, ids with several vectors, and clustered vectors, whose queries visit few cells."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = np.repeat(centres, 100, 0) + 0.1 * rng.normal(size=(4000, 16))
+    rows = [(k, [float(v) for v in r], "c") for k, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, *rows[:50], (3, [9.0] * 16, "c")], "vec_id long, embedding array<float>, cell string")
+    found = additive_search.search(df, lambda v: v % 50 == 0, k=10, levels=4, codes=32).toPandas()
+    assert (found.groupby("query_id").vec_id.nunique() == 10).all() and not (found.query_id == found.vec_id).any()
+    f = x.astype(np.float32).astype(float)
+    f[3] = min(f[3].tolist(), [9.0] * 16)
+    hits = 0
+    for q, g in found.groupby("query_id"):
+        s = f @ f[q]
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(4000), -s))[:10]) & set(g.vec_id))
+        assert np.allclose(g.score, s[g.vec_id])
+    assert found.query_id.nunique() == 80 and hits >= 0.9 * 800
+    assert additive_search.cells_to_visit(f, additive_search.fit_cells(f), 10) < 16
