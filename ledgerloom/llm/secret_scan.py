@@ -1,12 +1,15 @@
 """Operator 10: secrets, found by patterns and confirmed by structure.
 
 Base kinds are patterns alone. Added kinds are reported only once a candidate has been decoded and
-its inside parsed: DER keys whose nested lengths fill the candidate exactly, OpenSSH private keys
-whose length fields add up, PEM blocks around either, signed tokens whose header is a JSON object
-that names an algorithm, and base64 or hex that hides a PEM block or an access id.
+its inside parsed: DER keys whose nested lengths fill the candidate exactly (of PKCS #8, the key
+within as well), OpenSSH private keys whose length fields add up, either of them on one line or
+wrapped, PEM blocks around either, signed tokens whose header is a JSON object that names an
+algorithm and whose claims are another, and base64 or hex that hides, at any place and alignment, a
+DER key, a PEM block or an access id.
 
 Spans are code points, end exclusive. A null or empty text has no spans. A base span is never
-dropped; an added span may lie on it.
+dropped; an added span may lie on it. Each row is scanned by itself: rows that repeat a doc_id have
+each their own result.
 """
 
 from __future__ import annotations
@@ -41,6 +44,10 @@ HEX_KEY = re.compile(r"[0-9A-Fa-f]{36,}")
 STARTS = re.compile(r"\A|(?<=[+/_-])")
 #: Base64 of a DER sequence begins with M, of the OpenSSH magic with b3Bl.
 KEY_STARTS = re.compile(r"(?<![A-Za-z0-9])(?=M|b3Bl)")
+#: A key may go on over lines of one width, their ends escaped or not.
+WRAPPED = re.compile(r"([A-Za-z0-9+/_-]{40,100})((?:(?:\r?\n|(?:\\+[rn])+)[A-Za-z0-9+/_-]{1,100})+)={0,2}")
+#: Sequences that begin with a version, as private keys do.
+DER_START = re.compile(rb"\x30(?:\x81.|\x82..|[\x20-\x7f])\x02\x01[\x00-\x03]", re.S)
 HIDDEN = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----|AKIA[A-Z0-9]{14,}")
 PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 #: Line ends as JSON and env files write them, escaped once or more.
@@ -88,7 +95,10 @@ def is_der_key(raw: bytes, start: int = 0) -> bool:
         return False
     if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:  # version, algorithm, key octets
         inner = der_items(raw, *items[1][1:])
-        return bool(inner) and inner[0][0] == 0x06
+        key = der_items(raw, *items[2][1:])
+        if not inner or inner[0][0] != 0x06 or not key or len(key) != 1:
+            return False
+        return key[0][0] in (0x02, 0x04) or key[0][0] == 0x30 and bool(der_items(raw, *key[0][1:]))  # integer, octets, or a sequence
     if tags[1] == 0x04:  # version, EC scalar
         return len(value(1)) >= 20
     return len(tags) >= 6 and set(tags[1:9]) == {0x02}  # version, then integers
@@ -129,11 +139,18 @@ def whole_key(raw: bytes | None, start: int = 0) -> str | None:
 
 
 def hidden_at(raw: bytes | None) -> int | None:
-    """Where in raw a PEM block or an access id begins."""
-    if not raw or b"AKIA" not in raw and b"-----BEGIN " not in raw:
+    """Where in raw a PEM block, an access id or a DER key begins."""
+    if not raw:
         return None
-    m = HIDDEN.search(raw)
-    return m and m.start()
+    found = [m.start()] if (b"AKIA" in raw or b"-----BEGIN " in raw) and (m := HIDDEN.search(raw)) else []
+    for m in DER_START.finditer(raw):
+        head = raw[m.start() + 1]
+        n = head & 0x7F if head >= 0x80 else 0
+        end = m.start() + 2 + n + (int.from_bytes(raw[m.start() + 2 : m.start() + 2 + n], "big") if n else head)
+        if end <= len(raw) and is_der_key(raw[m.start() : end]):
+            found.append(m.start())
+            break
+    return min(found, default=None)
 
 
 def base64_keys(run: str) -> list[tuple[int, str]]:
@@ -146,9 +163,9 @@ def base64_keys(run: str) -> list[tuple[int, str]]:
     for k in range(4):
         odd = (len(body) - k) % 4 == 1  # a character that ends no byte
         raw = from_base64(body[k : len(body) - odd])
-        if not odd:
-            found += [(s, kind) for s in keys if s % 4 == k and (kind := whole_key(raw, (s - k) // 4 * 3))]
-        if (at := hidden_at(raw)) is not None:
+        whole = [] if odd else [(s, kind) for s in keys if s % 4 == k and (kind := whole_key(raw, (s - k) // 4 * 3))]
+        found += whole
+        if not whole and (at := hidden_at(raw)) is not None:
             found.append((next((s for s in starts if s % 4 == k and (s - k) // 4 * 3 <= at), 0), "encoded"))
     return found
 
@@ -163,6 +180,15 @@ def hex_keys(run: str) -> list[tuple[int, str]]:
     return found
 
 
+def wrapped_key(m: re.Match) -> tuple[int, str] | None:
+    """(start, kind) of a key over several lines, which begins on the first."""
+    rest = re.split(r"(?:\r?\n|\\+[rn])+", m[2])[1:]
+    if any(len(x) != len(rest[0]) for x in rest[:-1]) or len(rest[-1]) > len(rest[0]):
+        return None
+    body = m[1] + "".join(rest)
+    return next(((k.start(), kind) for k in KEY_STARTS.finditer(m[1]) if (kind := whole_key(from_base64(body[k.start() :])))), None)
+
+
 def is_token_header(text: str) -> bool:
     raw = from_base64(text)
     try:
@@ -172,6 +198,16 @@ def is_token_header(text: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
+def is_token(m: re.Match) -> bool:
+    """A header that names an algorithm, claims that are a JSON object, a signature that can be decoded."""
+    if not is_token_header(m[1]) or from_base64(m[3]) is None:
+        return False
+    try:
+        return isinstance(json.loads(from_base64(m[2]) or b""), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     low, found = text.lower(), []
     if any(k in low for k in KEYWORDS):
@@ -185,9 +221,10 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def added_spans(text: str) -> list[tuple[int, str, int]]:
     found = []
     if "." in text and ("ey" in text or "ew" in text):
-        found += [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_token_header(m[1])]
+        found += [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_token(m)]
     for pattern, keys in ((BASE64, base64_keys), (HEX_KEY, hex_keys)):
         found += [(m.start() + k, kind, m.end()) for m in pattern.finditer(text) for k, kind in keys(m[0])]
+    found += [(m.start() + key[0], key[1], m.end()) for m in WRAPPED.finditer(text) if (key := wrapped_key(m))]
     if "-----BEGIN " in text:
         for m in PEM_BEGIN.finditer(text):
             close = f"-----END {m[1]}-----"
@@ -197,7 +234,9 @@ def added_spans(text: str) -> list[tuple[int, str, int]]:
             body = ESCAPED_END.sub("\n", text[m.end() : end])
             body = re.sub(r"^[A-Za-z-]+:.*$|\s", "", body, flags=re.M)
             if whole_key(from_base64(body)):
-                found.append((m.start(), "pem_key", end + len(close)))
+                end += len(close)
+                found = [x for x in found if x[0] < m.start() or x[2] > end]  # parts of the block
+                found.append((m.start(), "pem_key", end))
     return in_order(found)
 
 

@@ -299,6 +299,52 @@ def test_every_run_is_decoded():
     assert kinds(code(b"aws_access_key_id=AKIA12345")) == [] and kinds(code(bytes(range(200)))) == []
 
 
+def pkcs8(inner):
+    return der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, inner))
+
+
+def test_keys_inside_and_over_lines():
+    """Keys at any place of what is encoded, wrapped keys, the inside of PKCS #8, claims of tokens."""
+    code = lambda b: base64.b64encode(b).decode()
+    for key in (rsa_key(), pkcs8(rsa_key()), pkcs8(der(4, bytes(32)))):
+        assert kinds(f"key {code(key)} end") == ["der_key"]
+        for front in (b"x", b"xy", b"xyz", b"some bytes "):
+            assert kinds(f"k={code(front + key + b'tail')}") == ["encoded"]
+            assert kinds(f"k={(front + key + b'tail').hex()}") == ["encoded"]
+    assert kinds(f"key {code(pkcs8(rsa_key()[:-2]))} end") == [] and kinds(f"key {code(pkcs8(bytes(40)))} end") == []
+    coded = code(rsa_key())
+    for end in ("\n", "\r\n", r"\n", r"\\n"):
+        for width in (64, 76):
+            lines = end.join(coded[k : k + width] for k in range(0, len(coded), width))
+            assert S.added_spans(f"k: {lines} z") == [(3, "der_key", 3 + len(lines))], (end, width)
+    assert kinds("\n".join([coded[:64], coded[64:120], coded[120:184]])) == []
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    assert kinds(f"t {head}.bm90anNvbg.abc") == [] and kinds(f"t {head}.eyJhIjoxfQ.abcde") == []
+
+
+def test_added_spans_by_hand():
+    """Every way to cut a text is decoded by hand; whole keys found so are those that are reported."""
+    rng, key = random.Random(21), der(0x30, der(2, b"\1") + der(4, bytes(range(32))))
+    coded = base64.b64encode(key).decode()
+    for _ in range(300):
+        parts = [rng.choice([" ", "=", "-", "word", "é", "M", "MII", coded, coded[:-4], "\n"]) for _ in range(rng.randint(1, 5))]
+        text = "".join(parts)
+        by_hand = set()
+        for a in range(len(text)):
+            if a and text[a - 1].isascii() and text[a - 1].isalnum():
+                continue
+            b = a
+            while b < len(text) and re.match(r"[A-Za-z0-9+/_-]", text[b]):
+                b += 1
+            while b < len(text) and text[b] == "=" and b - a < len(text[a:].rstrip()) and b < a + len(text[a:b].rstrip("=")) + 2:
+                b += 1
+            raw = S.from_base64(text[a:b])
+            if b - a >= 24 and raw == key:
+                by_hand.add((a, "der_key", b))
+        assert by_hand <= set(S.added_spans(text))
+        assert all(S.whole_key(S.from_base64(text[a:b].replace("\n", ""))) for a, kind, b in S.added_spans(text) if kind == "der_key")
+
+
 def base_by_hand(text):
     found = []
     for kind, pattern, least in (("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)):
