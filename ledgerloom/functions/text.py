@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Patterns, thresholds and forms of the source format (fixed values), down to FORMS.
 SPECIALS = r'[+\-&|!(){}\[\]^"~*?:\\/]'
+SECTION = r"\b(\d+\.\d+)(?:\.\d+)*\b"
+CREDITS = r"\b[Bb]y:\s*([^.;\n]{2,60})"
+JUNK = {"shortest": 30, "tags": 3, "letters": 0.55, "tokens": 12, "single": 0.3, "phrases": ("©", "all rights reserved", "isbn")}
 STOP_TOKENS = ("the", "of", "and", "&")
 CORPORATE = ("company", "corporation", "incorporated")
 #: Whole-word replacements in the order in which they apply (fixed values).
@@ -42,7 +47,7 @@ def humanised(relation: Column, nature: Column | None = None, prefix: str = "RIC
 
 def credits(text: Column) -> Column:
     """Names after `By:`, first seen first."""
-    found = F.regexp_extract_all(text, F.lit(r"\b[Bb]y:\s*([^.;\n]{2,60})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(CREDITS), F.lit(1))
     names = F.flatten(F.transform(found, lambda x: F.split(x, r"\s+and\s+|\s*,\s*|\s*&\s*")))
     tidy = F.transform(names, lambda x: F.trim(F.regexp_replace(F.trim(x), r",$", "")))
     return F.array_distinct(F.filter(tidy, lambda x: F.length(x) >= 2))
@@ -94,10 +99,8 @@ def is_junk(text: Column) -> Column:
     letters = F.regexp_count(text, F.lit(r"[\p{L}\s]"))
     tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
     single = F.size(F.filter(tokens, lambda t: F.length(t) == 1))
-    return (
-        (F.length(F.trim(text)) < 30) | (tags >= 3) | low.contains("©") | low.contains("all rights reserved") | low.contains("isbn")
-        | (letters < 0.55 * length) | ((F.size(tokens) >= 12) & (single > 0.3 * F.size(tokens)))
-    )
+    rules = [F.length(F.trim(text)) < JUNK["shortest"], tags >= JUNK["tags"], *(low.contains(x) for x in JUNK["phrases"]), letters < JUNK["letters"] * length]
+    return functools.reduce(lambda a, b: a | b, rules) | ((F.size(tokens) >= JUNK["tokens"]) & (single > JUNK["single"] * F.size(tokens)))
 
 
 def redacted(text: Column, denied: list[str]) -> Column:
@@ -150,7 +153,7 @@ def passage_chips(text: Column) -> Column:
 
 def section_numbers(text: Column) -> Column:
     """`d.d` prefixes of section numbers, in order."""
-    return F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}\.\d{1,2})(?:\.\d+)*\b"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(SECTION), F.lit(1))
 
 
 def lexical_query(topic: str, fuzzy: bool = True) -> dict:

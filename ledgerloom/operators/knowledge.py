@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import records as R
 from ledgerloom.functions import text as T
 from ledgerloom.operators.graph import closure
-from ledgerloom.operators.passages import pack, split_long
+from ledgerloom.operators.passages import pack, split_rows
 
 CHUNK_TOKENS, OVERHEAD, UNIT_CHARS = 3000, 20, 6000
 RELATION_CAPS = (60, 25)
@@ -26,8 +26,7 @@ def surface(collections: DataFrame, parts: DataFrame, titles: DataFrame, notes:
     named = inside.join(titles, "uri").select("collection", "depth", "uri", F.lit("title").alias("kind"), F.col("title").alias("text"), F.lit("").alias("pid"))
     told = inside.join(notes.where(F.col("type").isin(*kinds)), "uri").select("collection", "depth", "uri", F.col("type").alias("kind"), F.col("content").alias("text"), F.col("persistent_id").alias("pid"))
     units = named.unionByName(told).where(F.coalesce(F.col("text"), F.lit("")) != "").distinct()
-    pieces = F.udf(lambda t: split_long(t, UNIT_CHARS), "array<string>")
-    cut = units.select("*", F.posexplode(F.when(F.length("text") <= UNIT_CHARS, F.array("text")).otherwise(pieces("text"))).alias("k", "piece"))
+    cut = split_rows(units, "text", UNIT_CHARS)
     order = Window.partitionBy("collection").orderBy("depth", "uri", F.desc(F.col("kind") == "title"), "pid", "k")
     return cut.select("collection", (F.row_number().over(order) - 1).cast("long").alias("i"), F.col("uri").alias("source_uri"), "kind", F.col("piece").alias("text"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.lineage import cut
 from ledgerloom.operators import passages as P
 from ledgerloom.tables import table
 
@@ -43,7 +44,8 @@ select conv_id, turn, bin from w"""
 def section_growth(spark, d):
     chunks = P.chunked(table(spark, d, "documents"), "doc_id", "text", 400, 80).withColumnRenamed("chunk", "text")
     score = F.round(F.pmod(F.xxhash64("text"), F.lit(1000)) / 1000, 3)
-    return P.section_growth(chunks.withColumn("score", score).withColumn("kept", score > 0.9), "doc_id")
+    ranked = chunks.withColumn("score", score).withColumn("kept", score > 0.9).withColumn("heading", F.lit(None).cast("string")).withColumn("rank", F.col("score"))
+    return P.section_growth(cut(ranked, "chunks"), "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (neighbour_range_join, islands_passages, chunk_text, chunk_pack, section_growth)}

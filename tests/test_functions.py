@@ -1,5 +1,8 @@
 """Golden cases of text, record and resolution functions."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,11 +82,84 @@ def test_chunks():
     assert passages.split_long("x" * 10, 4) == ["xxxx", "xxxx", "xx"]
 
 
-def test_walk_needs_a_later_match():
+def walk(seqs, matches, exists, taken, gap=2):
+    """Positions outwards from a run, one by one."""
+    kept, last = 0, 0
+    for n, s in enumerate(seqs, 1):
+        if not exists(s) or s in taken or n - last > gap + 1:
+            break
+        kept, last = (n, n) if matches(s) else (kept, last)
+    return list(seqs)[:kept]
+
+
+def test_walk_needs_a_later_match(spark):
     exists = set(range(10)).__contains__
-    assert passages.walk(range(1, 9), {3, 4}.__contains__, exists, set(), 2) == [1, 2, 3, 4]
-    assert passages.walk(range(1, 9), {5}.__contains__, exists, set(), 2) == []
-    assert passages.section_prefix(["1.2.3 and 1.2.4", "3.4"]) == "1.2"
+    assert walk(range(1, 9), {3, 4}.__contains__, exists, set(), 2) == [1, 2, 3, 4]
+    assert walk(range(1, 9), {5}.__contains__, exists, set(), 2) == []
+    for hits, free in (({3, 4}, 9), ({5}, 9), ({1, 4, 8}, 9), ({2, 6}, 9), ({1, 2, 3}, 2), (set(), 9)):
+        rows = spark.createDataFrame([(1, d, d <= free, d in hits) for d in range(1, 9)], "w int, d int, free boolean, matched boolean")
+        assert sorted(r.d for r in passages.reach(rows, ["w"], 2).collect()) == walk(range(1, 9), hits.__contains__, lambda s: s <= free, set(), 2)
+    texts = spark.createDataFrame([(1, 1, "1.2.3 and 1.2.4"), (1, 2, "3.4"), (2, 1, "2019.123 2019.123"), (3, 1, "1.1")], "run int, seq int, text string")
+    assert {r.run: r.section for r in passages.section_of_runs(texts, ["run"], "seq", "text").collect()} == {1: "1.2", 2: "2019.123"}
+
+
+def grown_by_hand(chunks):
+    """chunks of one document: (seq, text, heading, score, kept, rank); sequential, run by run in order of rank."""
+    by_seq = {c[0]: c for c in chunks}
+    kept = sorted(c[0] for c in chunks if c[4])
+    runs = []
+    for s in kept:
+        if runs and runs[-1][-1] == s - 1:
+            runs[-1].append(s)
+        else:
+            runs.append([s])
+    have, out = set(kept), {(s, k) for k, run in enumerate(runs) for s in run}
+    for k, run in sorted(enumerate(runs), key=lambda x: min((by_seq[s][5], s) for s in x[1])):
+        counts = {}
+        for s in run:
+            for m in re.findall(r"\b(\d+\.\d+)(?:\.\d+)*\b", by_seq[s][1]):
+                counts[m] = counts.get(m, 0) + 1
+        best = max(counts, key=counts.get, default=None)
+        if best and counts[best] >= 2:
+            matches = lambda s, b=best: bool(re.search(rf"\b{re.escape(b)}\.\d+\b", f"{by_seq[s][1]} {by_seq[s][2] or ''}"))
+        else:
+            matches = lambda s: by_seq[s][3] >= 0.8
+        for way in (range(run[0] - 1, run[0] - 4, -1), range(run[-1] + 1, run[-1] + 31)):
+            found = walk(way, matches, by_seq.__contains__, have)
+            have |= set(found)
+            out |= {(s, k) for s in found if len(by_seq[s][1].strip()) >= 30}
+    return out
+
+
+def test_section_growth_by_hand(spark):
+    rng = random.Random(1)
+    rows, wanted = [], set()
+    for doc in range(60):
+        chunks = []
+        for s in range(rng.randint(3, 60)):
+            if rng.random() < 0.05:
+                continue
+            text = " ".join(rng.choice(["1.2.3", "1.2", "2.7.1", "see rule", "of the house", "plain words stand here"]) for _ in range(rng.randint(1, 6)))
+            chunks.append((s, text, rng.choice([None, "1.2.9", "about"]), rng.choice([0.1, 0.5, 0.85, 0.9]), rng.random() < 0.12, rng.randint(0, 50)))
+        rows += [(doc, *c) for c in chunks]
+        wanted |= {(doc, s, k) for s, k in grown_by_hand(chunks)}
+    df = spark.createDataFrame(rows, "id int, seq long, text string, heading string, score double, kept boolean, rank int")
+    junk = lambda text: len(text.strip()) < 30 or sum(c.isalpha() or c.isspace() for c in text) < 0.55 * len(text)
+    bad = {(r[0], r[1]) for r in rows if junk(r[2]) and not r[5]}
+    found = {(r.id, r.seq, r.run) for r in passages.section_growth(df, "id").collect()}
+    assert found == {x for x in wanted if x[:2] not in bad}
+
+
+def test_long_texts_part_at_blank_lines():
+    assert passages.split_long("aaaaaaaaaa\n \nbbbbbbbbbb", 15) == ["aaaaaaaaaa", "bbbbbbbbbb"]
+    assert passages.split_long("One two. Three four. Five.", 12) == ["One two.", "Three four.", "Five."]
+    assert passages.split_long("a\n\nb\n\n" + "c" * 15 + "\n\nd", 10) == ["a\n\nb", "c" * 10, "ccccc\n\nd"]
+    assert passages.split_long("short", 10) == ["short"]
+
+
+def test_names_without_tokens_are_no_match():
+    assert resolution.name_similarity(["the of"], ["the and"], [[]], [[]]) == 0.0
+    assert resolution.name_similarity(["ann lee"], ["lee ann"], [["ann", "lee"]], [["lee", "ann"]]) > 0.6
 
 
 @pytest.mark.parametrize("query", ["delete from t", "select 1; select 2", "", "select * from parquet.`/etc`", "insert into t select 1", "select reflect('a', 'b')"])
