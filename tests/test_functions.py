@@ -177,6 +177,32 @@ def test_guard_plans(spark):
         guard.run_guarded(spark, "select * from hidden", tables)
 
 
+HIDING = [
+    "select t.k, s.id from things t cross join hidden_table s",
+    "select k from things union all select id from hidden_table",
+    "select k from things where k in (select id from hidden_table)",
+    "select k, (select max(id) from hidden_table) as m from things",
+    "with h as (select id from hidden_table) select * from things join h on k = id",
+    "select * from things where exists (select 1 from hidden_table where id = k)",
+    "select * from hidden_view",
+    "select k from things, lateral (select id from hidden_table where id = k)",
+]
+OPEN = ["with h as (select k from things) select a.k from h a join h b on a.k = b.k", "select 1 as x", "select * from values (1), (2)", "select count(*) from (select k from things group by k) where k > (select min(k) from things)", "select k from things order by k limit 2"]
+
+
+def test_guard_checks_every_leaf(spark):
+    """One allowed table opens no other, in joins, unions, subqueries, table expressions or views."""
+    spark.sql("create table if not exists hidden_table using parquet as select id from range(3)")
+    spark.sql("create or replace temp view hidden_view as select id from hidden_table")
+    tables = {"things": spark.range(5).toDF("k")}
+    for query in HIDING:
+        with pytest.raises(guard.Refused):
+            guard.run_guarded(spark, query, tables)
+    for query in OPEN:
+        assert guard.run_guarded(spark, query, tables)[0].count() >= 1
+    spark.sql("drop table hidden_table")
+
+
 def test_chart_specs():
     spec = {"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "mark": "bar", "data": {"values": [{"url": "kept", "b": 1}]}, "usermeta": {}, "encoding": {"href": 1, "x": {}}}
     safe = exports.safe_spec(spec)

@@ -79,6 +79,22 @@ def test_components_and_closure(spark):
     assert not graph.may_move(parents, "a", "c") and graph.may_move(parents, "c", "a") and not graph.may_move(parents, "a", "a")
 
 
+def test_hot_nodes_are_not_shuffled(spark, monkeypatch):
+    """A node of high degree is joined by a broadcast of bounded size, and no shuffled key exceeds the limit."""
+    from ledgerloom.operators import components as C
+
+    monkeypatch.setattr(C, "HOT_DEGREE", 50)
+    edges = spark.range(1, 2000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    stars = C.large_star(edges.unionByName(spark.range(3000, 3100).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))), 2099)
+    plan = stars._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    mixed = edges.unionByName(spark.createDataFrame([(5000, 4000), (4000, 1999)], "a long, b long"))
+    assert {r.root for r in components(mixed).collect()} == {0}
+    both = mixed.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    assert C.with_least(both, least, 2001).count() == both.count()
+
+
 def test_upserts_keep_what_is_not_given(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, w string")
     new = spark.createDataFrame([(2, None, "z"), (3, "c", "q")], "k int, v string, w string")
