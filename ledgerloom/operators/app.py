@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,42 @@ def name_is_free(folders: DataFrame, user, parent, name: str, exclude=None) -> b
 
 def context_percent(tokens: Column, window: int) -> Column:
     return F.bround(tokens / window * 100, 1)
+
+
+def substring_filter(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """Rows that hold the query in one of the columns, case aside; a blank query keeps all."""
+    wanted = query.strip().lower()
+    found = [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(wanted)) for c in columns]
+    return rows.where(functools.reduce(lambda a, b: a | b, found)) if wanted else rows
+
+
+def by_title(rows: DataFrame, title: str, key: str, default: str = "Untitled chat") -> DataFrame:
+    """Rows in order of title, case aside; rows without one go by the default."""
+    return rows.withColumn("shown", F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit(default))).orderBy(F.lower("shown"), key)
+
+
+def job_history(jobs: DataFrame, started: str, key: str) -> DataFrame:
+    """Newest first; jobs that have no start yet come last, as if they had started before all others."""
+    return jobs.orderBy(F.desc_nulls_last(started), key)
+
+
+def rehydrated(messages: DataFrame, refs: DataFrame, chunks: DataFrame, given: DataFrame) -> DataFrame:
+    """Messages (conv, id, position, role, text) with the passages that were retrieved for them, in order.
+
+    refs: id, at, chunk; chunks: chunk, passage. `given` (conv, n) says how many messages a caller
+    holds; a conversation with another number isn't aligned and stays as it is."""
+    told = refs.join(chunks, "chunk").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "passage"))), lambda x: x["passage"]), "\n\n").alias("context"))
+    sizes = messages.groupBy("conv").agg(F.count("*").alias("__n")).join(given, "conv").where("__n = n").select("conv", F.lit(True).alias("aligned"))
+    rows = messages.join(told, "id", "left").join(sizes, "conv", "left")
+    use = F.col("aligned") & (F.col("role") == "user") & F.col("context").isNotNull()
+    return rows.withColumn("text", F.when(use, F.concat("context", F.lit("\n\n"), "text")).otherwise(F.col("text"))).drop("context", "aligned")
+
+
+def cleaned_query(text: Column) -> Column:
+    """A query on one line without any LIMIT."""
+    flat = F.regexp_replace(F.replace(text, F.lit("\\n"), F.lit(" ")), r"[\n\r\t]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(flat, r"(?i)\bLIMIT\s+(\d+|\$\w+)\b", " "), r"\s{2,}", " "))
+
+
+def clamped(limit: Column | int, most: int = 200) -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(limit) if isinstance(limit, int) else limit, F.lit(most)))

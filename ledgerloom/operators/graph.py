@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +33,15 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 100) -> DataFrame:
-    """root, node and depth of everything below each root (depth 0: itself).
+def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """root, node and depth of everything below each root (depth 0: itself), or down to a depth.
 
-    Level by level: a level joins the edges once, and stops when it's empty. A node that was reached
-    from the same root before isn't followed again, so cycles end."""
+    Level by level: edges are written once, a level joins them once, and the walk ends when a level
+    is empty. A node that was reached from the same root before isn't followed again, so cycles end."""
     known = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    level = known
-    for k in range(1, depth + 1):
-        down = level.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("root", F.col("dst").alias("node"), F.lit(k).alias("depth")).distinct()
+    level, edges = known, cut(edges.select(F.col("src").alias("node"), "dst"), "edges")
+    for k in itertools.count(1) if depth is None else range(1, depth + 1):
+        down = level.join(edges, "node").select("root", F.col("dst").alias("node"), F.lit(k).alias("depth")).distinct()
         level = cut(down.join(known.select("root", "node"), ["root", "node"], "left_anti"), "level")
         if level.isEmpty():
             break
@@ -47,7 +49,7 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int = 100) -> DataFrame:
     return known
 
 
-def ancestors(parents: DataFrame, starts: DataFrame, depth: int = 100) -> DataFrame:
+def ancestors(parents: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """start, node and depth, upwards through (node, parent)."""
     return closure(parents.select(F.col("node").alias("src"), F.col("parent").alias("dst")).where("dst is not null"), starts, depth).withColumnRenamed("root", "start")
 
@@ -75,10 +77,10 @@ def with_inverse(edges: DataFrame, relations: DataFrame) -> DataFrame:
     return named.select(both.alias("e"), *[c for c in edges.columns if c not in ("src", "rel", "dst")]).select("e.*", *[c for c in edges.columns if c not in ("src", "rel", "dst")])
 
 
-def resolve_stubs(fetch, stubs: DataFrame, passes: int = 10) -> tuple[DataFrame, DataFrame]:
+def resolve_stubs(fetch, stubs: DataFrame, passes: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Breadth-first completion: fetch(stubs) gives (nodes with uri, linked uris); failures are what it doesn't return.
 
-    Ends when no unknown uri is left, or after `passes`. Returns nodes and failed uris."""
+    Ends when no unknown uri is left, or after `passes`. Returns nodes, failed uris, and those still wanted."""
     nodes = failed = None
     wanted = stubs.select("uri").distinct()
     for _ in range(passes):
@@ -90,7 +92,7 @@ def resolve_stubs(fetch, stubs: DataFrame, passes: int = 10) -> tuple[DataFrame,
         nodes = found if nodes is None else nodes.unionByName(found)
         failed = lost if failed is None else failed.unionByName(lost)
         wanted = cut(linked.join(nodes.select("uri"), "uri", "left_anti").join(failed, "uri", "left_anti"), "wanted")
-    return nodes, failed
+    return nodes, failed, wanted
 
 
 def top_of_group(df: DataFrame, group: list[str], order: list, n: int = 1) -> DataFrame:

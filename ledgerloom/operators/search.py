@@ -5,6 +5,8 @@ before anything is shuffled. Corpus statistics are sums over all documents."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +22,9 @@ def tokens(text: Column) -> Column:
 
 
 def with_frequencies(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """key, length in tokens, and tf_0.. of each term."""
-
-    def occurrences(word: str) -> Column:
-        return F.size(F.filter("__t", lambda t: t == word))
-
-    split = docs.select(key, tokens(F.col(text)).alias("__t"))
-    return split.select(key, F.size("__t").alias("length"), *(occurrences(w).alias(f"tf_{k}") for k, w in enumerate(terms)))
+    """key, length in tokens, and tf_0.. of each term. Tokens are runs of letters, so patterns count them in place."""
+    low = F.lower(F.col(text))
+    return docs.select(key, low.alias("__low")).select(key, F.regexp_count("__low", F.lit(r"\p{L}+")).alias("length"), *(F.regexp_count("__low", F.lit(rf"(?<!\p{{L}}){re.escape(w)}(?!\p{{L}})")).alias(f"tf_{k}") for k, w in enumerate(terms)))
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], weights: list[float] | None = None) -> DataFrame:

@@ -87,3 +87,27 @@ def capped(rows: DataFrame, cap: int) -> tuple[DataFrame, bool]:
 
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def wipe(nodes: DataFrame, edges: DataFrame, keep: Column, key: str = "uri") -> tuple[DataFrame, DataFrame]:
+    """What a wipe leaves: the nodes that `keep` names, and the edges between them."""
+    left = nodes.where(F.coalesce(keep, F.lit(False)))
+    ids = left.select(F.col(key).alias("__k"))
+    return left, edges.join(ids, F.col("src") == F.col("__k"), "left_semi").join(ids, F.col("dst") == F.col("__k"), "left_semi")
+
+
+def create_by_label(rows: DataFrame, path: str, label: str = "label") -> None:
+    """Bulk creation: rows appended to one folder for each label. Rows of a label are spread over tasks, so none is hot."""
+    rows.write.partitionBy(label).mode("append").parquet(path)
+
+
+def write_vectors(nodes: DataFrame, vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
+    """nodes with the vectors that are given; others keep their own."""
+    new = vectors.select(key, F.col(column).alias("__new"))
+    old = F.col(column) if column in nodes.columns else F.lit(None).cast(vectors.schema[column].dataType)
+    return nodes.join(new, key, "left").withColumn(column, F.coalesce("__new", old)).drop("__new")
+
+
+def returned(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """The rows that an upsert of new into old touches, as they are afterwards."""
+    return upsert(old.join(new.select(*key), key, "left_semi"), new, key)

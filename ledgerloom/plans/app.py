@@ -46,10 +46,10 @@ DEDUPE = "select event_id, user_id, event_type from events qualify row_number()
 
 
 def message_history(spark, d):
-    return A.history(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "position", F.left("text", F.lit(80)).alias("start"))
+    return A.history(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "position", "text")
 
 
-HISTORY = "select conv_id, turn, role, row_number() over (partition by conv_id order by turn) as position, left(text, 80) as start from conversations where role not in ('tool', 'system')"
+HISTORY = "select conv_id, turn, role, row_number() over (partition by conv_id order by turn) as position, text from conversations where role not in ('tool', 'system')"
 
 
 def conversation_counts(spark, d):

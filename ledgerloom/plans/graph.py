@@ -43,11 +43,11 @@ select root, depth, count(*) as n, min(node) as first from walk group by root, d
 
 def ancestor_walk(spark, d):
     parents = tree(spark, d).select(F.col("dst").alias("node"), F.col("src").alias("parent"))
-    starts = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(key("O", "o_orderkey").alias("node"))
+    starts = table(spark, d, "orders").select(key("O", "o_orderkey").alias("node"))
     return G.ancestors(parents, starts).select("start", "node", "depth")
 
 
-ANCESTORS = f"""with recursive {TREE.format(lines='')}, walk as (select 'O' || o_orderkey as start, 'O' || o_orderkey as node, 0 as depth from orders where o_orderkey % 10 = 0
+ANCESTORS = f"""with recursive {TREE.format(lines='')}, walk as (select 'O' || o_orderkey as start, 'O' || o_orderkey as node, 0 as depth from orders
  union all select start, src, depth + 1 from walk join edges on dst = node) select start, node, depth from walk"""
 
 

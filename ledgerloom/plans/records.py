@@ -20,12 +20,23 @@ STRIP = "select page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) as text
 
 
 def parse_source_uri(spark, d):
-    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
-    return table(spark, d, "pages").select("page_id", host.alias("host"), F.regexp_extract("url", r"/(\d+)$", 1).alias("number"), F.regexp_extract("url", r"/([^/]+)/[^/]*$", 1).alias("kind"), F.when(F.col("url").rlike("^https://"), "secure").otherwise("plain").alias("scheme"))
+    """Addresses of pages in parts; their numbers as records of every kind, with label, type and staff address."""
+    pages = table(spark, d, "pages")
+    kinds = F.array(*map(F.lit, ("/repositories/2/resources/", "/repositories/2/archival_objects/", "/repositories/2/accessions/", "/repositories/2/digital_objects/", "/agents/people/", "/agents/corporate_entities/", "/odd/")))
+    uri = F.concat(F.element_at(kinds, (F.col("page_id") % 7 + 1).cast("int")), F.col("page_id").cast("string"))
+    host, number = F.regexp_extract("url", r"^https?://([^/]+)", 1), F.regexp_extract("url", r"/(\d+)$", 1)
+    resource = F.when(F.col("page_id") % 2 == 0, F.lit("/repositories/2/resources/9"))
+    return pages.withColumn("uri", uri).withColumn("resource", resource).select(
+        "page_id", host.alias("host"), number.alias("number"), F.regexp_extract("url", r"/([^/]+)/[^/]*$", 1).alias("kind"), F.when(F.col("url").rlike("^https://"), "secure").otherwise("plain").alias("scheme"),
+        R.record_label(F.col("uri")).alias("label"), R.agent_type(F.col("uri")).alias("agent"), R.public_url("http://b/", F.col("uri"), F.col("resource")).alias("address"),
+    )
 
 
-PARSE = r"""select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host, regexp_extract(url, '/(\d+)$', 1) as number, regexp_extract(url, '/([^/]+)/[^/]*$', 1) as kind,
- case when regexp_matches(url, '^https://') then 'secure' else 'plain' end as scheme from pages"""
+PARSE = r"""with p as (select *, ['resources', 'archival_objects', 'accessions', 'digital_objects', 'people', 'corporate_entities', 'odd'][page_id % 7 + 1] as k, page_id % 7 as m from pages)
+select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host, regexp_extract(url, '/(\d+)$', 1) as number, regexp_extract(url, '/([^/]+)/[^/]*$', 1) as kind,
+ case when regexp_matches(url, '^https://') then 'secure' else 'plain' end as scheme, ['Collection', 'ArchivalObject', 'Accession', 'DigitalObject', 'Agent', 'Agent', null][m + 1] as label,
+ case m when 4 then 'person' when 5 then 'corporate_entity' else '' end as agent,
+ case when m = 0 then 'http://b/resources/' || page_id || '#tree::resource_' || page_id when m = 1 and page_id % 2 = 0 then 'http://b/resources/9#tree::archival_object_' || page_id when m in (2, 3) then 'http://b/' || k || '/' || page_id when m in (4, 5) then 'http://b/agents/' || k || '/' || page_id else '' end as address from p"""
 
 
 def credit_extract(spark, d):
@@ -50,13 +61,13 @@ select p_partkey, relation, 'RICO_' || upper(regexp_replace(camel, '([a-z0-9])([
 
 def date_pivot(spark, d):
     """Each user's last value of each event type, pivoted as `date_<type>_expression`."""
-    e = table(spark, d, "events").where("event_id % 3 = 0")
+    e = table(spark, d, "events")
     dates = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value"))), lambda x: F.struct(x["event_type"].alias("date_type"), F.round(x["value"], 2).cast("string").alias("expression"), F.lit("").alias("begin"), F.lit("").alias("end")))
     pivot = e.groupBy("user_id").agg(R.date_pivot(dates).alias("m"))
     return pivot.select("user_id", F.explode(F.map_filter("m", lambda k, v: k.endswith("_expression")))).select("user_id", "key", F.round(F.col("value").cast("double"), 2).alias("value"))
 
 
-PIVOT = "select user_id, 'date_' || event_type || '_expression' as key, round(max_by(value, (ts, event_id)), 2) as value from events where event_id % 3 = 0 group by user_id, event_type"
+PIVOT = "select user_id, 'date_' || event_type || '_expression' as key, round(max_by(value, (ts, event_id)), 2) as value from events group by user_id, event_type"
 
 
 def normalise_names(spark, d):
@@ -138,10 +149,10 @@ select p_partkey, id_0, case when c is null then 'Arch' else 'Mss' end as prefix
 
 
 def csv_export_cells(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.csv_cell(F.left("text", F.lit(200))).alias("cell"), T.markdown_cell(F.left("text", F.lit(200))).alias("markdown"), T.slug(F.left("text", F.lit(80))).alias("stem"))
+    return table(spark, d, "documents").select("doc_id", T.csv_cell(F.col("text")).alias("cell"), T.markdown_cell(F.col("text")).alias("markdown"), T.slug(F.col("text")).alias("stem"))
 
 
-CSV = r"""with a as (select doc_id, trim(regexp_replace(left(text, 200), '\s+', ' ', 'g')) as x, left(text, 80) as h from documents), b as (select doc_id, x, h, case when regexp_matches(x, '^[=+\-@]') then '''' || x else x end as y from a)
+CSV = r"""with a as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as x, text as h from documents), b as (select doc_id, x, h, case when regexp_matches(x, '^[=+\-@]') then '''' || x else x end as y from a)
 select doc_id, case when regexp_matches(y, '[",\n\r]') then '"' || replace(y, '"', '""') || '"' else y end as cell, replace(replace(replace(x, '|', '\|'), '[', '\['), ']', '\]') as markdown,
  coalesce(nullif(left(regexp_replace(regexp_replace(lower(h), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60), ''), 'chart') as stem from b"""
 

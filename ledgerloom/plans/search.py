@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.functions import vectors as V
+from ledgerloom.lineage import cut
 from ledgerloom.operators import search as S
 from ledgerloom.tables import table
 
@@ -13,11 +15,6 @@ TOPIC = "with the"
 QUERY_ID, OTHER_ID = 0, 7
 
 
-def linked(spark, d):
-    """Documents beside the embedding of the same number."""
-    return table(spark, d, "documents").join(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
-
-
 def vector_topk(spark, d):
     e = table(spark, d, "embeddings")
     return S.top(S.cosines(e, "vec_id", S.vector_of(e, "vec_id", QUERY_ID)), "vec_id", 20).select("vec_id", "score")
@@ -69,20 +66,24 @@ select doc_id, round(sum(r), 6) as rrf from r group by doc_id order by round(sum
 
 
 def hybrid_rrf(spark, d):
-    """Semantic, title-like and lexical branches, fused; the best ten with an excerpt."""
-    docs = linked(spark, d)
-    query = S.vector_of(table(spark, d, "embeddings"), "vec_id", QUERY_ID)
-    semantic = S.top(S.cosines(docs, "doc_id", query), "doc_id", 150)
-    titles = S.top(S.cosines(docs.where("length(text) < 1000"), "doc_id", query), "doc_id", 50)
-    lexical = S.top(S.bm25(docs, "doc_id", "text", TERMS), "doc_id", 250)
+    """Semantic, title-like and lexical branches, fused; the best ten with an excerpt.
+
+    Ranks are found on ids alone; texts are fetched for the ten that are left."""
+    docs = table(spark, d, "documents")
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    queries = [S.vector_of(vectors, "doc_id", q) for q in (QUERY_ID, OTHER_ID)]
+    both = docs.select("doc_id").join(vectors, "doc_id").select("doc_id", *(V.cosine(F.col("embedding"), V.literal(q)).alias(f"s{k}") for k, q in enumerate(queries)))
+    both = cut(both, "similarities")
+    semantic, titles = (S.top(both.select("doc_id", F.col(f"s{k}").alias("score")), "doc_id", n) for k, n in ((0, 150), (1, 50)))
+    lexical = S.top(S.bm25(docs.join(vectors.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text", TERMS), "doc_id", 250)
     fused = S.fuse([(semantic, 1.0), (titles, 0.5), (lexical, 1.0)], "doc_id")
-    best = fused.select("doc_id", F.round("fused", 4).alias("rrf")).orderBy(F.desc("rrf"), "doc_id").limit(10)
-    return best.join(docs, "doc_id").select("doc_id", "rrf", F.left("text", F.lit(150)).alias("excerpt"), "source").orderBy(F.desc("rrf"), "doc_id")
+    best = cut(fused.select("doc_id", F.round("fused", 4).alias("rrf")).orderBy(F.desc("rrf"), "doc_id").limit(10), "best")
+    return docs.join(F.broadcast(best), "doc_id").select("doc_id", "rrf", F.left("text", F.lit(150)).alias("excerpt"), "source").orderBy(F.desc("rrf"), "doc_id")
 
 
 HYBRID = f"""with linked as (select d.*, e.embedding from documents d join embeddings e on e.vec_id = d.doc_id),
 sem as (select doc_id, round({COSINE.format(q=QUERY_ID)}, 6) as score from linked order by score desc, doc_id limit 150),
-tit as (select doc_id, round({COSINE.format(q=QUERY_ID)}, 6) as score from linked where length(text) < 1000 order by score desc, doc_id limit 50),
+tit as (select doc_id, round({COSINE.format(q=OTHER_ID)}, 6) as score from linked order by score desc, doc_id limit 50),
 lex as ({bm25_sql(TERMS, 250).replace('from documents)', 'from linked)')}),
 r as (select doc_id, 1.0::DOUBLE / (60 + row_number() over (order by score desc, doc_id)) as r from sem
  union all select doc_id, 0.5::DOUBLE / (60 + row_number() over (order by score desc, doc_id)) from tit
