@@ -14,9 +14,12 @@
    sets. Search goes outwards from linked texts, so within a group of texts that are all alike each
    is compared once.
    Both joins with what grows (buckets, members) are sort-merge joins at every size.
-   A bucket of more than BUCKET_BLOCK classes, or a component of more than BLOCK texts, is dealt
-   out in pairs of blocks, each pair of blocks to one task: no task holds more than two blocks, and
-   every pair still meets somewhere.
+   A bucket of more than BUCKET_BLOCK classes is dealt out in pairs of blocks, each pair of blocks to
+   one task: no task holds more than two blocks, and every pair still meets somewhere.
+   A component of more than BLOCK texts is dealt into blocks, each with the component's PIVOTS, and
+   searched within them first. Its largest group so found is set apart; what is outside of it meets
+   all of the component in a second round. In a family of texts that are alike nothing is outside,
+   and each text's set is shuffled once; else once more for each block of what is outside.
 5  Components of the confirmed links are the result.
 
 Null and empty texts have no shingles and stand alone. Rows with a null doc_id keep their size, have
@@ -43,6 +46,8 @@ BASE, RATE = 1.2, 20.0
 CUTOFF = 14.0
 #: Texts, and shingles, of one block of a large candidate component.
 BLOCK, BLOCK_SHINGLES = 3000, 3_000_000
+#: Sets that every block of a large candidate component holds.
+PIVOTS = 8
 #: Classes of one block of a large bucket.
 BUCKET_BLOCK = 4000
 #: Equal registers without which a pair isn't looked at: seven standard deviations below what the threshold gives.
@@ -146,22 +151,38 @@ def search_outwards(sizes: np.ndarray, linked, percent: int = round(100 * SIMILA
     return links
 
 
+def exact_links(one: int, others: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the others link to one: by registers, then on the full sets."""
+    some = others[may_link(regs[one], regs[others], sizes[one], sizes[others])]
+    if not len(some):
+        return some
+    mine, values = sets[one], np.concatenate([sets[j] for j in some])
+    place = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+    common = np.add.reduceat((mine[place] == values).astype(np.int64), np.cumsum([0, *sizes[some[:-1]]]))
+    return some[100 * common >= percent * (sizes[one] + sizes[some] - common)]
+
+
 def confirmed_links(sets: list[np.ndarray], percent: int = round(100 * SIMILARITY)) -> list[tuple[int, int]]:
     """A forest of confirmed links whose trees are the components of all links among the sets."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[k] for k in order]
     sizes, regs = np.array([len(s) for s in sets]), sketches(sets)
+    found = search_outwards(sizes, lambda one, others: exact_links(one, others, sets, regs, sizes, percent), percent)
+    return [(int(order[a]), int(order[b])) for a, b in found]
 
-    def linked(one: int, others: np.ndarray) -> np.ndarray:
-        some = others[may_link(regs[one], regs[others], sizes[one], sizes[others])]
-        if not len(some):
-            return some
-        mine, values = sets[one], np.concatenate([sets[j] for j in some])
-        place = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
-        common = np.add.reduceat((mine[place] == values).astype(np.int64), np.cumsum([0, *sizes[some[:-1]]]))
-        return some[100 * common >= percent * (sizes[one] + sizes[some] - common)]
 
-    return [(int(order[a]), int(order[b])) for a, b in search_outwards(sizes, linked, percent)]
+def links_across(mine: list[np.ndarray], theirs: list[np.ndarray], percent: int = round(100 * SIMILARITY)) -> list[tuple[int, int]]:
+    """All confirmed links between two lists of sets, as (place in mine, place in theirs)."""
+    if not mine or not theirs:
+        return []
+    order = np.argsort([len(s) for s in theirs], kind="stable")
+    sets = [*(theirs[k] for k in order), *mine]
+    sizes, regs, n, out = np.array([len(s) for s in sets]), sketches(sets), len(theirs), []
+    for one in range(n, len(sets)):
+        low = np.searchsorted(sizes[:n], -(-percent * sizes[one] // 100), "left")
+        high = np.searchsorted(sizes[:n], 100 * sizes[one] // percent, "right")
+        out += [(one - n, int(order[j])) for j in exact_links(one, np.arange(low, high), sets, regs, sizes, percent)]
+    return out
 
 
 def likely_links(sizes: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
@@ -269,36 +290,114 @@ def candidate_components(classes: DataFrame) -> DataFrame:
     return components(dealt.mapInArrow(run, "a binary, b binary"))
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """a, b and whole: each class and the least one that it's linked to, by way of others or not.
+def links_of(a: list[bytes], b: list[bytes], whole: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([whole] * len(a), pa.bool_())], names=["a", "b", "whole"])
 
-    whole: the candidate component was one task, so b is final; else links of several tasks add up."""
-    members = cut(candidates.join(classes.select("node", "doc_id", "n_shingles"), "node"), "members")
-    dealt = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    places = in_block_pairs(members.join(dealt, "root"), "root", "blocks").select("doc_id", "node", "task", "root", (F.col("blocks") == 1).alias("whole"))
-    texts = id_and_text(docs).join(places.hint("merge"), "doc_id").select("task", "root", "whole", "node", "text")
-    dealt = texts.repartition("task", "root").sortWithinPartitions("task", "root", "node")
+
+LINKS = "a binary, b binary, whole boolean"
+
+
+def links_in_groups(rows: DataFrame, read, whole: bool) -> DataFrame:
+    """Links within each (task, root) of rows (task, root, node, value); read(value) gives a set, or None."""
 
     def run(batches):
         key, nodes, sets = None, [], []
 
         def done():
             found = stars(len(nodes), confirmed_links(sets)) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in found], pa.binary()), pa.array([nodes[b] for _, b in found], pa.binary()), pa.array([key is not None and key[2]] * len(found), pa.bool_())], names=["a", "b", "whole"])
+            return links_of([nodes[a] for a, _ in found], [nodes[b] for _, b in found], whole)
 
         for batch in batches:
-            for task, root, whole, node, text in zip(*batch.columns, strict=True):
-                group, node = (task.as_py(), root.as_py(), whole.as_py()), node.as_py()
+            for task, root, node, value in zip(*batch.columns, strict=True):
+                group, node = (task.as_py(), root.as_py()), node.as_py()
                 if group != key:
                     yield done()
                     key, nodes, sets = group, [], []
-                found = shingles(text.as_py(), size)
-                if digest(found) == node and (not nodes or nodes[-1] != node):  # a doc_id may have other texts
-                    nodes.append(node)
-                    sets.append(found)
+                if not nodes or nodes[-1] != node:
+                    found = read(value.as_py(), node)
+                    if found is not None:
+                        nodes.append(node)
+                        sets.append(found)
         yield done()
 
-    return map_arrow(dealt, run, "a binary, b binary, whole boolean")
+    dealt = rows.select("task", "root", "node", "value").repartition("task", "root").sortWithinPartitions("task", "root", "node")
+    return map_arrow(dealt, run, LINKS)
+
+
+def links_between(rows: DataFrame) -> DataFrame:
+    """Links in each (task, root) of rows (task, root, outside, node, value) between those outside and the others."""
+
+    def run(batches):
+        key, nodes, sets = None, ([], []), ([], [])
+
+        def done():
+            found = links_across(sets[1], sets[0])
+            found = [(nodes[1][a], nodes[0][b]) for a, b in found if nodes[1][a] != nodes[0][b]]
+            return links_of([max(x) for x in found], [min(x) for x in found], False)
+
+        for batch in batches:
+            for task, root, outside, node, value in zip(*batch.columns, strict=True):
+                group, side = (task.as_py(), root.as_py()), int(outside.as_py())
+                if group != key:
+                    yield done()
+                    key, nodes, sets = group, ([], []), ([], [])
+                nodes[side].append(node.as_py())
+                sets[side].append(np.frombuffer(value.as_py(), np.uint64))
+        yield done()
+
+    dealt = rows.select("task", "root", "outside", "node", "value").repartition("task", "root").sortWithinPartitions("task", "root")
+    return map_arrow(dealt, run, LINKS)
+
+
+def large_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of large components. members: node, root, blocks; sets: node and value, each once.
+
+    First within blocks that share pivots, then between what the largest group leaves and all."""
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    pivots = members.groupBy("root", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(PIVOTS)).alias("k")).agg(F.min("node").alias("node"), F.first("blocks").alias("blocks"))
+    places = members.select("node", "root", mine.alias("task")).unionByName(pivots.select("node", "root", every.alias("task")))
+    first = cut(links_in_groups(sets.join(places.hint("merge"), "node"), lambda value, node: np.frombuffer(value, np.uint64), False), "first-links")
+    group = components(first.select("a", "b"))
+    grouped = cut(members.join(group.withColumnRenamed("root", "g"), "node", "left").withColumn("g", F.coalesce("g", "node")), "grouped")
+    largest = grouped.groupBy("root", "g").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("g", F.struct("n", "g")).alias("main"))
+    outside = grouped.join(largest, "root").where("g <> main").select("node", "root", "blocks")
+    parts = cut(outside.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "parts")
+    if parts.isEmpty():
+        return first
+    beside = grouped.select("node", "root", "blocks").join(parts, "root")
+    some = F.pmod(F.xxhash64(F.lit(2), "node"), F.col("parts")).cast("int")
+    all_ = beside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).select("node", "root", F.xxhash64(mine, "part").alias("task"), F.lit(False).alias("outside"))
+    rest = outside.join(parts, "root").withColumn("block", every).select("node", "root", F.xxhash64("block", some).alias("task"), F.lit(True).alias("outside"))
+    return first.unionByName(links_between(sets.join(all_.unionByName(rest).hint("merge"), "node")))
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """a, b and whole: each class and the least one that it's linked to, by way of others or not.
+
+    whole: the candidate component was one task, so b is final; else links of several tasks add up."""
+    members = cut(candidates.join(classes.select("node", "doc_id", "n_shingles"), "node"), "members")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = members.join(sizes, "root")
+    texts = id_and_text(docs).join(dealt.select("doc_id", "node", "root", "blocks").hint("merge"), "doc_id")
+
+    def own(text: str, node: bytes) -> np.ndarray | None:
+        found = shingles(text, size)
+        return found if digest(found) == node else None  # a doc_id may have other texts
+
+    small = links_in_groups(texts.where("blocks = 1").select(F.lit(0).alias("task"), "root", "node", F.col("text").alias("value")), own, True)
+    large = cut(dealt.where("blocks > 1").select("node", "doc_id", "root", "blocks"), "large")
+    if large.isEmpty():
+        return small
+
+    def written(batches):
+        for batch in batches:
+            found = [own(text.as_py(), node.as_py()) for text, node in zip(batch.column(0), batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x if x is None else x.tobytes() for x in found], pa.binary())], names=["node", "value"])
+
+    kept = id_and_text(docs).join(large.select("doc_id", "node").hint("merge"), "doc_id")
+    sets = cut(map_arrow(kept.select("text", "node"), written, "node binary, value binary").where("value is not null").groupBy("node").agg(F.first("value").alias("value")), "sets")
+    return small.unionByName(large_links(large.drop("doc_id"), sets))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

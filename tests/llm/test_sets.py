@@ -164,6 +164,30 @@ def test_near_duplicates_by_hand(spark, monkeypatch, blocks):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_large_families_are_shuffled_once(spark, monkeypatch):
+    """Texts of a large family are alike: a first round settles them, and no set goes to several tasks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(120)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        words[rng.randrange(120)] = f"w{k}"
+        texts.append(" ".join(words))
+    shipped = []
+    between = near_dedup.links_between
+    monkeypatch.setattr(near_dedup, "links_between", lambda rows: (shipped.append(rows.count()), between(rows))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {0}
+    assert not shipped
+    # a chain: most neighbours link, ends don't, so a second round has something to do
+    chain = [" ".join(base[k : k + 60]) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    _, root = by_hand(list(enumerate(chain)), 4)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == root
+
+
 def test_one_of_each_group_stays(spark):
     rows = [*enumerate(near_copies()), (0, near_copies()[0]), (None, near_copies()[0]), (3, "another text under a known id")]
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, kept string")
