@@ -12,6 +12,8 @@ from pyspark.sql import types as St
 from ledgerloom.functions import text as T
 
 BOM = "\ufeff"
+#: Rows of a rendered table at most (fixed value).
+MOST_ROWS = 200
 
 
 def as_text(field: St.StructField) -> Column:
@@ -50,8 +52,18 @@ def _headed(batches, header):
         yield rows
 
 
-def tsv_lines(df: DataFrame) -> DataFrame:
-    return df.select(F.concat_ws("\t", *(F.regexp_replace(F.coalesce(as_text(f), F.lit("")), r"\s+", " ") for f in df.schema)).alias("value"))
+def tsv_lines(df: DataFrame, link: str | None = None) -> DataFrame:
+    """One `value` per row; a link column, if named, comes last as the address alone."""
+    fields = sorted(df.schema, key=lambda f: f.name == link)
+    cells = (F.regexp_replace(as_text(f), r"^\[[^\]]*\]\(([^)]*)\)$", "$1") if f.name == link else as_text(f) for f in fields)
+    return df.select(F.concat_ws("\t", *(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")) for c in cells)).alias("value"))
+
+
+def tabular(frames: list[DataFrame], cap: int) -> dict[str, Any]:
+    """Rows of unlike frames as {columns, rows, truncated}: columns as first seen, at most cap rows."""
+    both = union_of_rows(frames)
+    rows = both.limit(cap + 1).collect()
+    return {"columns": both.columns, "rows": [r.asDict(recursive=True) for r in rows[:cap]], "truncated": len(rows) > cap}
 
 
 def union_of_rows(frames: list[DataFrame]) -> DataFrame:
@@ -64,7 +76,7 @@ def union_of_rows(frames: list[DataFrame]) -> DataFrame:
 
 def markdown_table(df: DataFrame, order: list, limit: int = 200) -> str:
     """A Markdown table of at most `limit` rows, in order."""
-    limit = max(1, min(limit, 200))
+    limit = max(1, min(limit, MOST_ROWS))
     rows = df.orderBy(*order).limit(limit).select(F.concat(F.lit("| "), F.concat_ws(" | ", *(T.markdown_cell(as_text(f)) for f in df.schema)), F.lit(" |")).alias("v")).collect()
     head = "| " + " | ".join(df.columns) + " |"
     return "\n".join([head, "|" + " --- |" * len(df.columns), *(r[0] for r in rows)])

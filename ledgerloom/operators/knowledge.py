@@ -14,7 +14,7 @@ from ledgerloom.operators.graph import closure
 from ledgerloom.operators.passages import pack, split_rows
 
 CHUNK_TOKENS, OVERHEAD, UNIT_CHARS = 3000, 20, 6000
-RELATION_CAPS = (60, 25)
+RELATION_CAPS, SOURCES = (60, 25), 12
 DOSSIER_CHARS = 15_000
 
 
@@ -112,6 +112,35 @@ def names_agree(query: Column, names: Column) -> Column:
     return F.size(F.array_except(T.name_tokens(T.normal_name(query)), all_tokens)) == 0
 
 
+#: Labels of an entity's fields in a dossier, in order (fixed values).
+CARD = {"agent_type": "type", "exists_from": "exists from", "exists_to": "exists to", "event_type": "event type", "date": "date", "description": "description"}
+
+
+def entity_dossiers(hits: DataFrame, entities: DataFrame, relations: DataFrame, records: DataFrame) -> DataFrame:
+    """id and dossier of found entities: card, twin record, relations, sources.
+
+    hits: id, top (whether it's the best one); entities: id, kind, display_name, the fields of CARD,
+    alternate_names, twin, source_uri; relations: src, rel, nature, other, date, quote, confidence;
+    records: uri, title, url. Relations go by type and name, 60 for the best entity and 25 for its
+    namesakes, each line once; sources are 12 at most."""
+    said = F.concat(F.lit("- "), T.humanised(F.col("rel"), F.col("nature")), F.lit(": "), F.col("other"))
+    said = F.concat(said, F.coalesce(F.concat(F.lit(" ("), R.filled(F.col("date")), F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(' — "'), R.filled(F.col("quote")), F.lit('"')), F.lit("")))
+    said = F.concat(said, F.when(F.col("confidence") < 0.95, F.format_string(" [confidence %.1f]", F.col("confidence").cast("double"))).otherwise(""))
+    order = Window.partitionBy("id").orderBy("rel", "other", "line")
+    lines = relations.join(hits.select(F.col("id").alias("src"), "top"), "src").select(F.col("src").alias("id"), "top", "rel", "other", said.alias("line")).withColumn("n", F.row_number().over(order))
+    lines = lines.where(F.col("n") <= F.when(F.col("top"), RELATION_CAPS[0]).otherwise(RELATION_CAPS[1])).groupBy("id", "line").agg(F.min("n").alias("n"))
+    told = lines.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
+    cited = entities.join(hits.select("id"), "id").select("id", F.posexplode("source_uri").alias("at", "uri")).join(records, "uri").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("at")))
+    sources = cited.where(F.col("n") <= SOURCES).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit(") (uri "), "uri", F.lit(")")).alias("line")))), lambda x: x["line"]).alias("sources"))
+    twins = records.select(F.col("uri").alias("twin"), F.concat(F.lit("- archivist-created record: ["), "title", F.lit("]("), "url", F.lit(")")).alias("twin_line"))
+    e = entities.join(hits, "id").join(twins, "twin", "left").join(told, "id", "left").join(sources, "id", "left")
+    head = F.concat(F.when(F.col("top"), F.lit("# ")).otherwise(F.lit("## Distinct same-name entity — ")), "kind", F.lit(": "), "display_name")
+    card = [F.concat(F.lit(f"- {label}: "), R.filled(F.col(c))) for c, label in CARD.items()]
+    also = F.when(F.size("alternate_names") > 0, F.concat(F.lit("- also seen as: "), F.array_join(F.slice("alternate_names", 1, 6), ", ")))
+    near = F.when(F.col("lines").isNull(), F.lit("(no relationships recorded for this entity)")).otherwise(F.concat(F.lit("Relationships ("), F.size("lines").cast("string"), F.lit("):\n"), F.array_join("lines", "\n")))
+    return e.select("id", F.concat_ws("\n", head, *card, also, "twin_line", near, F.when(F.col("sources").isNotNull(), F.concat(F.lit("## Source records\n"), F.array_join("sources", "\n")))).alias("dossier"))
+
+
 def entity_relations(edges: DataFrame, node: str, first: bool = True) -> DataFrame:
     """An entity's relations in order of type and name, capped, each line once."""
     cap = RELATION_CAPS[0 if first else 1]

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 import html
+import io
 import re
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Suffixes that can be converted to text here; others need a converter (fixed values).
+#: Suffixes that can be converted to text here; pdf needs a converter of its own (fixed values).
 PLAIN = ("txt", "md", "html", "htm")
-KNOWN = (*PLAIN, "pdf", "docx", "pptx", "xlsx")
+OFFICE = ("docx", "pptx", "xlsx")
+KNOWN = (*PLAIN, *OFFICE, "pdf")
+#: Cell values that say nothing (fixed values).
+BLANK = ("", "nan", "None", "NaT")
 
 
 def scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -29,10 +35,48 @@ def html_to_text(source: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def xml_texts(source: bytes, block: str) -> list[str]:
+    """Text of each block element of an office document's part: its text runs, joined."""
+    blocks = re.findall(rf"(?s)<{block}[ >].*?</{block}>", source.decode("utf-8", "replace"))
+    return [html.unescape("".join(re.findall(r"(?s)<(?:\w+:)?t(?: [^>]*)?>(.*?)</(?:\w+:)?t>", b))) for b in blocks]
+
+
+def sheet_rows(source: bytes, shared: list[str]) -> list[list[str]]:
+    """Cells of each row of a sheet; cells of type s are numbers of shared strings."""
+    out = []
+    for row in re.findall(r"(?s)<row[ >].*?</row>", source.decode("utf-8", "replace")):
+        cells = re.findall(r"(?s)<c(?=[ />])([^>]*?)(?:/>|>(.*?)</c>)", row)
+        values = [(kind, re.search(r"(?s)<(?:v|t)[^>]*>(.*?)</(?:v|t)>", body)) for kind, body in cells]
+        out.append([(shared[int(m[1])] if 't="s"' in kind else html.unescape(m[1])) if m else "" for kind, m in values])
+    return out
+
+
+def office_text(kind: str, content: bytes) -> str | None:
+    """Paragraphs of a document, slides of a presentation, `column: value; …` lines of sheets; null if it can't be read."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as parts:
+            number = lambda n: [int(x) for x in re.findall(r"\d+", n)]
+            names = sorted(parts.namelist(), key=lambda n: (number(n), n))
+            if kind == "docx":
+                return "\n\n".join(x for x in xml_texts(parts.read("word/document.xml"), "w:p") if x.strip())
+            if kind == "pptx":
+                slides = ("\n".join(x for x in xml_texts(parts.read(n), "a:p") if x.strip()) for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n))
+                return "\n\n".join(x for x in slides if x)
+            shared = xml_texts(parts.read("xl/sharedStrings.xml"), "si") if "xl/sharedStrings.xml" in names else []
+            lines = []
+            for n in names:
+                if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n):
+                    head, *rows = sheet_rows(parts.read(n), shared) or [[]]
+                    lines += ["; ".join(f"{h}: {v}" for h, v in zip(head, row) if v.strip() not in BLANK) for row in rows]
+            return "\n".join(x for x in lines if x)
+    except (zipfile.BadZipFile, KeyError, ValueError, IndexError):
+        return None
+
+
 def convert(files: DataFrame, converters: dict | None = None) -> DataFrame:
     """path and text; null where no converter (suffix: bytes to text) is given for a kind."""
     found = {"txt": lambda b: b.decode("utf-8", "replace"), "md": lambda b: b.decode("utf-8", "replace"), "html": lambda b: html_to_text(b.decode("utf-8", "replace"))}
-    found |= {"htm": found["html"]} | (converters or {})
+    found |= {"htm": found["html"]} | {kind: functools.partial(office_text, kind) for kind in OFFICE} | (converters or {})
 
     def run(batches):
         for batch in batches:

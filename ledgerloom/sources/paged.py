@@ -12,8 +12,11 @@ import importlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ledgerloom.lineage import cut
+
 
 class Page(InputPartition):
     def __init__(self, number: int, last: int):
@@ -59,16 +62,22 @@ class PagedSource(DataSource):
 
 
 def read_pages(spark: SparkSession, fetch: str, endpoint: str, page_size: int = 100, strict: bool = False) -> tuple[DataFrame, bool]:
-    """Records up to the first failing page, and whether there was none."""
-    from pyspark.sql import functions as F
-
+    """Records up to the first failing page, and whether there was none. Every page is fetched once."""
     spark.dataSource.register(PagedSource)
     rows = spark.read.format("paged").option("fetch", fetch).option("endpoint", endpoint).option("page_size", str(page_size)).option("mode", "FAILFAST" if strict else "PERMISSIVE").load()
+    rows = cut(rows, "pages")
     first_bad = rows.where("not complete").agg(F.min("page")).first()[0]
     kept = rows.where("complete") if first_bad is None else rows.where(F.col("complete") & (F.col("page") < first_bad))
     return kept.select("page", "record"), first_bad is None
 
 
+def read_one(spark: SparkSession, fetch: str, endpoint: str) -> str | None:
+    """The single record of an endpoint as JSON text; a failing request is an error."""
+    rows, _ = read_pages(spark, fetch, endpoint, 1, strict=True)
+    found = rows.orderBy("page").first()
+    return found and found.record
+
+
 def fetch_by_keys(keys: DataFrame, raw: DataFrame, key: str = "uri") -> tuple[DataFrame, DataFrame]:
     """Records of listed keys, and the keys that have none."""
     return keys.join(raw, key), keys.join(raw, key, "left_anti")
