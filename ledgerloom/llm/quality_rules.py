@@ -11,7 +11,8 @@ measure each whole text, word by word:
 BANDS bounds each by the script of most of the text's letters. Entropy is bounded only from
 MIN_TOKENS tokens on, as a short text cannot reach a high one.
 
-A null or empty text has no words, fails the base rules and is not kept.
+A null or empty text has no words, fails the base rules and is not kept. Each row is judged by
+itself, so rows that repeat a doc_id or a text have equal results.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ CACHE = 500_000
 #: Above every token id; adds up the tokens of the second vocabulary.
 MARK = 40_000
 
+#: How the bands were set. Latin: on the sf0.1 tables, labelled good texts of over 300 code points have piece_chars 1.75 to
+#: 2.43, multi_chars 1.86 to 2.43, no byte tokens and entropy 5.7 to 7.1; the band leaves room on every side, above all
+#: upwards, as real prose has longer words. Other scripts don't occur there: their lower bounds lie near what byte fallback
+#: alone would give (a code point in two to four tokens), so that only text which a vocabulary reads byte by byte is rejected.
 #: Script: lowest and highest piece_chars, lowest multi_chars, highest byte_share, lowest entropy.
 BANDS = {
     "latin": (1.30, 12.0, 1.62, 0.10, 3.5),

@@ -4,7 +4,8 @@ Small trees are boosted on statistics of the labelled sample's texts. Every path
 node is a conjunctive rule; a lasso logistic fit keeps few of them; what it keeps is compiled into
 one Spark column over the statistics, so scoring evaluates inside code generation.
 
-Null and empty texts have statistics of zero and are scored like any other. Without labels of both
+Null and empty texts have statistics of zero and are scored like any other. Each row is scored by
+itself, so rows that repeat a doc_id are scored each by its own text, and learned from each. Without labels of both
 kinds the score is the share of labels that are 1 (0.5 without any label).
 """
 

@@ -177,3 +177,45 @@ def test_fertility_rejects_noise_and_keeps_text(spark):
     assert rows[0].kept and not rows[1].kept and not rows[1].base_failed
     assert rows[2].n_words == 0 and rows[2].base_failed and rows[3].base_failed
     assert quality_rules.script_of("Привет мир") == "cyrillic" and quality_rules.script_of("123") == "none"
+
+
+def test_fertility_equals_libraries():
+    """Every measure, word by word, by the libraries themselves."""
+    import base64
+    import math
+    from collections import Counter
+
+    import sentencepiece
+    import tiktoken
+
+    paths = vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken")
+    ours = quality_rules.Fertility(*paths)
+    piece = sentencepiece.SentencePieceProcessor(model_file=paths[0])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(paths[1], "rb"))}
+    multi = tiktoken.Encoding("m", pat_str=quality_rules.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(14)
+    for text in ["plain words here", "Привет мир", "日本語 テスト", "z" * 60_000, *made(rng, [*"ab'sé \n1.,日ж😀"], 200)]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        if not words:
+            continue
+        ids, chars = [k for w in words for k in piece.encode(w)], sum(map(len, words))
+        counts = Counter(ids)
+        wanted = (len(ids), chars / len(ids), chars / sum(len(multi.encode_ordinary(f" {w}")) for w in words), sum(map(piece.is_byte, ids)) / len(ids), -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values()))
+        assert ours.measure(words, chars) == pytest.approx(wanted)
+
+
+def test_very_long_and_no_documents(spark):
+    """A text of two million characters, an empty table, and rows that come twice, through every operator on documents."""
+    from ledgerloom.llm import mixing, near_dedup, rule_ensemble, secret_scan, toxicity
+
+    long = "word number one, " * 120_000
+    docs = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (2, None, None), (3, "", "a"), (3, "", "a")], "doc_id long, text string, source string")
+    toxic, good = toxicity.fit([]), rule_ensemble.Ensemble()
+    every = {
+        "op1": lambda d: toxicity.score(d, toxic), "op2": lambda d: rule_ensemble.score(d, good), "keep": lambda d: rule_ensemble.keep_good(d, good), "op3": bpe.round_trip_digests, "op4": mixing.mix_documents,
+        "op6": quality_rules.judge_documents, "op7": near_dedup.near_duplicates, "op10": secret_scan.scan, "redact": secret_scan.redact_documents,
+    }
+    for name, run in every.items():
+        rows = run(docs).collect()
+        assert len(rows) == 5 and len({str(r) for r in rows if r.doc_id == 1}) == len({str(r) for r in rows if r.doc_id == 3}) == 1, name
+        assert run(docs.limit(0)).count() == 0, name

@@ -412,3 +412,32 @@ def test_pipeline_by_hand(spark):
     assert mixed.columns == docs.columns and mixed.select("doc_id").distinct().exceptAll(clean.select("doc_id")).isEmpty()
     assert P.encode(spark, mixed, folder).count() == mixed.count() > 0
     assert P.quality(spark, docs.limit(0), folder).count() == 0
+
+
+def test_pipeline_takes_clashing_columns(spark, tmp_path):
+    """run() as a whole, on documents whose extra columns are called as the operators' own."""
+    import shutil
+
+    import corpus_pipeline as P
+
+    folder = tmp_path / "d"
+    folder.mkdir()
+    shutil.copy("/root/testdata/sf0.001/labels.parquet", folder / "labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name in ("y", "s", "size", "node", "score", "target", "p", "half"):
+        docs = docs.withColumn(name, F.lit(1))
+    docs.write.parquet(str(folder / "documents.parquet"))
+    found = P.run(spark, str(folder)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    plain = P.run(spark, "/root/testdata/sf0.001").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(str, found)) == sorted(map(str, plain)) and len(found) > 20
+    texts = {}
+    for name, stage in P.STAGES[:-1]:
+        docs = P.cut(stage(spark, docs, str(folder)), "s")
+        texts = [r.text for r in docs.collect()]
+        assert len(docs.columns) == 13, name
+    from tokenizers import Tokenizer
+
+    from ledgerloom.llm.common import vocabulary
+
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    assert sorted(r.n_tokens for r in found) == sorted(len(t.encode(x or "", add_special_tokens=False).ids) for x in texts)
