@@ -10,10 +10,13 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as T
 from ledgerloom.functions import vectors
 from ledgerloom.lineage import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Terms that one fuzzy word stands for at most, as full-text engines have it (fixed value).
+EXPANSIONS = 50
 LETTERS = r"[^\p{L}]+"
 
 
@@ -41,6 +44,48 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], weights: list[f
     return counted.where(" or ".join(f"tf_{k} > 0" for k in range(len(terms)))).select(key, score.alias("score"))
 
 
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, length and term of every token: what an inverted index is built from."""
+    split = docs.select(key, tokens(F.col(text)).alias("__t"))
+    return split.select(key, F.size("__t").alias("length"), F.explode("__t").alias("term"))
+
+
+def near_terms(index: DataFrame, edits: dict[str, int]) -> DataFrame:
+    """word and term: the EXPANSIONS most frequent terms within a word's edits, with how many they are."""
+    words = [w for w, n in edits.items() if n]
+    terms = index.groupBy("term").agg(F.count("*").alias("n"))
+    distance = F.array(*(F.struct(F.lit(w).alias("word"), F.levenshtein("term", F.lit(w), edits[w]).alias("edits")) for w in words))
+    near = terms.select("term", "n", F.inline(distance)).where("edits between 1 and 2")
+    best = Window.partitionBy("word").orderBy("edits", F.desc("n"), "term")
+    return near.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= EXPANSIONS).select("word", "term", "edits")
+
+
+def lexical(docs: DataFrame, key: str, text: str, topic: str, fuzzy: bool = True) -> DataFrame:
+    """key and score by a topic's query: its words, terms within their edits at a lower weight, and the phrase, boosted.
+
+    Postings of the query's terms alone are shuffled; terms and their weights, EXPANSIONS for a word
+    at most, are broadcast."""
+    query = T.lexical_query(topic.lower(), fuzzy)
+    index = postings(docs, key, text)
+    spark, words = docs.sparkSession, list(dict.fromkeys(query["words"]))
+    weights = spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("term"), F.lit(1.0).alias("weight"))
+    if any(query["edits"].values()):
+        near = near_terms(index, query["edits"])
+        weights = weights.unionByName(near.groupBy("term").agg(F.max(1 - F.col("edits") / F.length("word")).alias("weight"))).groupBy("term").agg(F.max("weight").alias("weight"))
+    weights = cut(weights, "terms")
+    found = index.join(F.broadcast(weights), "term").groupBy(key, "length", "term", "weight").agg(F.count("*").alias("tf"))
+    if query["phrase"]:
+        phrase = r"(?<!\p{L})" + r"\P{L}+".join(map(re.escape, query["words"])) + r"(?!\p{L})"
+        whole = docs.select(key, F.regexp_count(F.lower(text), F.lit(r"\p{L}+")).alias("length"), F.lit(query["phrase"]).alias("term"), F.lit(query["phrase_boost"]).alias("weight"), F.regexp_count(F.lower(text), F.lit(phrase)).cast("long").alias("tf"))
+        found = found.unionByName(whole.where("tf > 0"))
+    found = cut(found, "found")
+    size = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(text), F.lit(r"\p{L}+"))).alias("mean")).first()
+    df = found.groupBy("term").agg(F.count("*").alias("df"))  # as few as the query's terms
+    idf = F.log(1 + (F.lit(float(size["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(size["mean"] or 1.0))))
+    return found.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(part).alias("score"))
+
+
 def vector_of(vectors_: DataFrame, key: str, value, column: str = "embedding") -> list[float]:
     """One vector, by key."""
     return list(vectors_.where(F.col(key) == value).select(column).first()[0])

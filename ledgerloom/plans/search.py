@@ -38,6 +38,25 @@ def lexical_bm25(spark, d):
     return S.top(S.bm25(table(spark, d, "documents"), "doc_id", "text", TERMS), "doc_id", 50).select("doc_id", "score")
 
 
+FUZZY = "erther wither"
+
+
+def lexical_fuzzy(spark, d):
+    """Words, terms within their edits, and the boosted phrase."""
+    return S.top(S.lexical(table(spark, d, "documents"), "doc_id", "text", FUZZY), "doc_id", 50).select("doc_id", "score")
+
+
+FUZZY_SQL = r"""with docs as (select doc_id, lower(text) as low, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') as t from documents),
+size as (select count(*)::DOUBLE as n, avg(len(t)) as mean from docs), post as (select doc_id, len(t) as length, unnest(t) as term from docs),
+terms as (select term, count(*) as n from post group by term), words as (select unnest(['erther', 'wither']) as word),
+near as (select word, term, levenshtein(term, word) as edits from terms, words where levenshtein(term, word) between 1 and 1 qualify row_number() over (partition by word order by levenshtein(term, word), n desc, term) <= 50),
+weights as (select term, max(weight) as weight from (select word as term, 1.0::DOUBLE as weight from words union all select term, 1 - edits::DOUBLE / length(word) from near) group by term),
+found as (select doc_id, length, term, weight, count(*) as tf from post join weights using (term) group by all
+ union all select doc_id, len(t), 'erther wither', 2.0, len(regexp_extract_all(' ' || low || ' ', '[^\p{L}]erther[^\p{L}]+wither[^\p{L}]')) from docs where regexp_matches(' ' || low || ' ', '[^\p{L}]erther[^\p{L}]+wither[^\p{L}]')),
+df as (select term, count(*)::DOUBLE as df from found group by term)
+select doc_id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score from found join df using (term), size group by doc_id order by score desc, doc_id limit 50"""
+
+
 def rrf_two_lists(spark, d):
     e = table(spark, d, "embeddings")
     lists = [(S.top(S.cosines(e, "vec_id", S.vector_of(e, "vec_id", q)), "vec_id", 100), 1.0) for q in (QUERY_ID, OTHER_ID)]
@@ -101,5 +120,5 @@ select doc_id, (length(trim(text, E' ')) < 30 or (len(regexp_extract_all(text, '
  or contains(lower(text), 'isbn') or len(regexp_extract_all(text, '[\p{L}\s]')) < 0.55 * n or (len(toks) >= 12 and len(list_filter(toks, lambda t: length(t) = 1)) > 0.3 * len(toks))) as junk from x"""
 
 
-QUERIES = {"hybrid_rrf": hybrid_rrf, "vector_topk": vector_topk, "lexical_bm25": lexical_bm25, "rrf_two_lists": rrf_two_lists, "relevance_gate": relevance_gate, "junk_filter": junk_filter}
-ORACLES = {"hybrid_rrf": HYBRID, "vector_topk": VECTOR_TOPK, "lexical_bm25": bm25_sql(TERMS, 50), "rrf_two_lists": RRF_TWO, "relevance_gate": GATE, "junk_filter": JUNK}
+QUERIES = {"hybrid_rrf": hybrid_rrf, "vector_topk": vector_topk, "lexical_bm25": lexical_bm25, "lexical_fuzzy": lexical_fuzzy, "rrf_two_lists": rrf_two_lists, "relevance_gate": relevance_gate, "junk_filter": junk_filter}
+ORACLES = {"hybrid_rrf": HYBRID, "vector_topk": VECTOR_TOPK, "lexical_bm25": bm25_sql(TERMS, 50), "lexical_fuzzy": FUZZY_SQL, "rrf_two_lists": RRF_TWO, "relevance_gate": GATE, "junk_filter": JUNK}

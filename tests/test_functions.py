@@ -73,6 +73,22 @@ def test_clusters_refuse_conflicts():
     assert set(resolution.greedy_clusters([(1, 2), (2, 3)], set()).values()) == {1}
 
 
+def test_clusters_by_hand():
+    """Against a comparison of all members at every union."""
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randint(2, 14)
+        pairs = [tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(1, 25))]
+        bad = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(0, 8))}
+        of = {}
+        for a, b in pairs:
+            x, y = of.setdefault(a, {a}), of.setdefault(b, {b})
+            if x is not y and not any((min(p, q), max(p, q)) in bad for p in x for q in y):
+                for m in (both := x | y):
+                    of[m] = both
+        assert resolution.greedy_clusters(pairs, bad) == {k: min(v) for k, v in of.items()}
+
+
 def test_chunks():
     assert passages.chunk_text("  ") == []
     assert passages.chunk_text(" a  b ") == ["a  b"]
