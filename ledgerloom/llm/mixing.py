@@ -46,24 +46,35 @@ def uniform(*columns) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 53)
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """source, source_size, target, copies and p of each source; sizes has source and size.
+def before(rows: DataFrame, order: list[Column], label: str, **values: Column) -> DataFrame:
+    """rows with the sum of each value over all rows before it in an order without ties.
 
-    The windows span sources, one row each after a sum, and not documents."""
+    Rows are dealt by range; each partition is summed on its own, and the sums of those before it,
+    of which there are as many as partitions, are added."""
+    dealt = cut(rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("__part"), *(v.alias(f"__v_{n}") for n, v in values.items())), label)
+    parts = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("__part").agg(*(F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values))
+    starts = sums.select(F.col("__part").alias("__p"), *(F.coalesce(F.sum(f"__s_{n}").over(parts), F.lit(0)).alias(f"__s_{n}") for n in values))
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(starts, F.col("__part") == F.col("__p"))
+    return joined.select(*rows.columns, *((F.col(f"__s_{n}") + F.coalesce(F.sum(f"__v_{n}").over(within), F.lit(0))).alias(n) for n in values))
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """source, source_size and target of each source; sizes has source and size.
+
+    Sources are ordered twice, by code points for their weights and by room for their level, never in one task."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     # UTF-8 bytes order as code points do
-    everything = Window.partitionBy(F.lit(0))
-    ranked = by_source.withColumn("rank", F.row_number().over(everything.orderBy(F.asc_nulls_last(F.col("source").cast("binary")))))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("double")
-    room = cap * F.col("source_size")
-    weighted = ranked.withColumn("weight", weight).withColumn("ratio", room / weight).withColumn("total", F.sum("source_size").over(everything).cast("double"))
+    ranked = before(by_source, [F.asc_nulls_last(F.col("source").cast("binary"))], "sources", rank=F.lit(1))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighted = ranked.withColumn("weight", weight.cast("long")).withColumn("room", F.lit(cap) * F.col("source_size"))
     # with sources in order of room by weight, those before the level's own are full; the level is the highest of the candidates
-    before = everything.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    after = everything.orderBy("ratio", "rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.col("total") - F.coalesce(F.sum(room).over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    levelled = weighted.withColumn("candidate", level).withColumn("level", F.max("candidate").over(everything))
-    target = F.least(room.cast("double"), F.col("level") * F.col("weight"))
-    return levelled.withColumn("target", target).select("source", "source_size", "target")
+    summed = cut(before(weighted, [F.col("room") / F.col("weight"), F.col("rank")], "rooms", full=F.col("room"), gone=F.col("weight")), "summed")
+    total = summed.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all")).first()
+    words, all_ = (F.lit(total[k] or 0) for k in ("words", "all"))
+    level = summed.agg(F.max((words - F.col("full")).cast("double") / (all_ - F.col("gone")))).first()[0]
+    return summed.select("source", "source_size", F.least(F.col("room").cast("double"), F.lit(level or 0.0) * F.col("weight")).alias("target"))
 
 
 def tilt(size: Column) -> Column:
