@@ -5,6 +5,7 @@ before anything is shuffled. Corpus statistics are sums over all documents."""
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,6 +115,22 @@ def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int = RRF_K) -> Data
     return union.groupBy(key).agg(F.sum("r").alias("fused"), F.max("score").alias("best"))
 
 
+def best_matches(hits: DataFrame, key: str, k: int) -> DataFrame:
+    """The k best records of a branch's hits (key, score, source, excerpt), each with its best hit."""
+    best = F.max_by(F.struct("source", "excerpt"), F.struct("score", "source", "excerpt"))
+    return hits.withColumn("score", F.round("score", 6)).groupBy(key).agg(F.max("score").alias("score"), best.alias("m")).orderBy(F.desc("score"), key).limit(k)
+
+
+def hybrid(branches: list[tuple[DataFrame, int, float]], key: str, limit: int) -> DataFrame:
+    """key, score, source and excerpt: weighted rank fusion over branches (hits, how many records, weight).
+
+    A record shows the match of the branch that ranks it best. Lists are as short as their k says."""
+    parts = [ranks(best_matches(hits, key, k), key).select(key, "m", (F.lit(weight) / (RRF_K + F.col("rank"))).alias("r")) for hits, k, weight in branches]
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    fused = rows.groupBy(key).agg(F.round(F.sum("r"), 4).alias("score"), F.max_by("m", F.struct("r", "m.source")).alias("m"))
+    return fused.select(key, "score", "m.source", "m.excerpt").orderBy(F.desc("score"), key).limit(limit)
+
+
 def gate(semantic: DataFrame, lexical: DataFrame, key: str, floor: float, lexical_floor: float, rescue: int = 3, cap: int = 1000) -> DataFrame:
     """Survivors of a relevance gate: all semantic ones above a floor, the strongest lexical ones, fused."""
     strong = semantic.where(F.col("score") >= floor)

@@ -111,6 +111,33 @@ best as (select doc_id, round(sum(r), 4) as rrf from r group by doc_id order by
 select b.doc_id, b.rrf, left(l.text, 150) as excerpt, l.source from best b join linked l using (doc_id) order by rrf desc, doc_id"""
 
 
+def hybrid_records(spark, d):
+    """All five branches over records of several kinds: note chunks, collection titles, agent names, item titles, words.
+
+    A vector is of the kind that its number says; eight note chunks, or texts, belong to one owner."""
+    e, docs = table(spark, d, "embeddings"), table(spark, d, "documents").select("doc_id", "text")
+    kind = lambda c: F.pmod(c, F.lit(4))
+    record = lambda c: F.when(kind(c) == 0, F.concat(F.lit("owner"), F.floor(c / 8).cast("string"))).when(kind(c) == 1, F.concat(F.lit("collection"), c.cast("string"))).when(kind(c) == 2, F.concat(F.lit("agent"), c.cast("string"))).otherwise(F.concat(F.lit("item"), c.cast("string")))
+    names = ("note", "collection title", "agent name", "item title")
+    near = cut(S.cosines(e, "vec_id", S.vector_of(e, "vec_id", QUERY_ID)).select(record(F.col("vec_id")).alias("rec"), "score", kind(F.col("vec_id")).alias("kind"), F.col("vec_id").cast("string").alias("excerpt")), "near")
+    branches = [(near.where(F.col("kind") == k).select("rec", "score", F.lit(names[k]).alias("source"), "excerpt"), n, w) for k, (n, w) in enumerate(((150, 1.0), (50, 1.0), (25, 0.5), (150, 1.0)))]
+    said = S.bm25(docs, "doc_id", "text", TERMS)
+    words = said.select(record(F.col("doc_id")).alias("rec"), "score", F.when(kind(F.col("doc_id")) == 0, "note word match").otherwise("word match").alias("source"), F.col("doc_id").cast("string").alias("excerpt"))
+    return S.hybrid([*branches, (words, 250, 1.0)], "rec", 50)
+
+
+RECORDS = f"""with rec as (select *, case {{0}} % 4 when 0 then 'owner' || {{0}} // 8 when 1 then 'collection' || {{0}} when 2 then 'agent' || {{0}} else 'item' || {{0}} end as rec from ({{1}}) t),
+hits as (select rec, score, ['note', 'collection title', 'agent name', 'item title'][vec_id % 4 + 1] as source, vec_id::VARCHAR as excerpt, vec_id % 4 as branch from near_rec
+ union all select rec, score, case when doc_id % 4 = 0 then 'note word match' else 'word match' end, doc_id::VARCHAR, 4 from word_rec),
+best as (select rec, branch, max(score) as score, arg_max((source, excerpt), (score, source, excerpt)) as m from hits group by all),
+ranked as (select *, row_number() over (partition by branch order by score desc, rec) as rank from best),
+r as (select rec, m, case when branch = 2 then 0.5 else 1.0 end::DOUBLE / (60 + rank) as r from ranked where rank <= [150, 50, 25, 150, 250][branch + 1])
+select rec, round(sum(r), 4) as score, arg_max(m, (r, m[1]))[1] as source, arg_max(m, (r, m[1]))[2] as excerpt from r group by rec order by score desc, rec limit 50"""
+_head, _rest = RECORDS.split("\nhits", 1)
+_of = lambda name, column, source: _head.replace("with rec as", f"{name} as", 1).format(column, source)
+RECORDS = "with " + _of("near_rec", "vec_id", f"select vec_id, round({COSINE.format(q=QUERY_ID)}, 6) as score from embeddings") + " " + _of("word_rec", "doc_id", bm25_sql(TERMS, 1_000_000_000)) + "\nhits" + _rest
+
+
 def junk_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", T.is_junk(F.col("text")).alias("junk"))
 
@@ -120,5 +147,5 @@ select doc_id, (length(trim(text, E' ')) < 30 or (len(regexp_extract_all(text, '
  or contains(lower(text), 'isbn') or len(regexp_extract_all(text, '[\p{L}\s]')) < 0.55 * n or (len(toks) >= 12 and len(list_filter(toks, lambda t: length(t) = 1)) > 0.3 * len(toks))) as junk from x"""
 
 
-QUERIES = {"hybrid_rrf": hybrid_rrf, "vector_topk": vector_topk, "lexical_bm25": lexical_bm25, "lexical_fuzzy": lexical_fuzzy, "rrf_two_lists": rrf_two_lists, "relevance_gate": relevance_gate, "junk_filter": junk_filter}
-ORACLES = {"hybrid_rrf": HYBRID, "vector_topk": VECTOR_TOPK, "lexical_bm25": bm25_sql(TERMS, 50), "lexical_fuzzy": FUZZY_SQL, "rrf_two_lists": RRF_TWO, "relevance_gate": GATE, "junk_filter": JUNK}
+QUERIES = {"hybrid_rrf": hybrid_rrf, "hybrid_records": hybrid_records, "vector_topk": vector_topk, "lexical_bm25": lexical_bm25, "lexical_fuzzy": lexical_fuzzy, "rrf_two_lists": rrf_two_lists, "relevance_gate": relevance_gate, "junk_filter": junk_filter}
+ORACLES = {"hybrid_rrf": HYBRID, "hybrid_records": RECORDS, "vector_topk": VECTOR_TOPK, "lexical_bm25": bm25_sql(TERMS, 50), "lexical_fuzzy": FUZZY_SQL, "rrf_two_lists": RRF_TWO, "relevance_gate": GATE, "junk_filter": JUNK}
