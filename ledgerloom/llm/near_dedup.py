@@ -44,8 +44,8 @@ BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 BASE, RATE = 1.2, 20.0
 CUTOFF = 14.0
-#: Texts, and shingles, of one block of a large candidate component.
-BLOCK, BLOCK_SHINGLES = 3000, 3_000_000
+#: Texts, and shingles, of one block of a candidate component; larger ones are large.
+BLOCK, BLOCK_SHINGLES = 500, 1_000_000
 #: Sets that every block of a large candidate component holds.
 PIVOTS = 8
 #: Classes of one block of a large bucket.
@@ -395,7 +395,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, size:
             found = [own(text.as_py(), node.as_py()) for text, node in zip(batch.column(0), batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x if x is None else x.tobytes() for x in found], pa.binary())], names=["node", "value"])
 
-    kept = id_and_text(docs).join(large.select("doc_id", "node").hint("merge"), "doc_id")
+    kept = id_and_text(docs).join(large.select("doc_id", "node"), "doc_id")  # broadcast only if its measured size allows
     sets = cut(map_arrow(kept.select("text", "node"), written, "node binary, value binary").where("value is not null").groupBy("node").agg(F.first("value").alias("value")), "sets")
     return small.unionByName(large_links(large.drop("doc_id"), sets))
 
