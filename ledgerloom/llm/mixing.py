@@ -1,16 +1,17 @@
 """Operator 4: mixing sources to target weights by Pareto order sampling. DataFrame functions only.
 
 Each source's target is its share of all words by weight, capped at CAP times its own words, the
-excess reshared by weight until none is above. Within a source, documents are expected to be taken
-unequally often: expected copies grow with the root of a document's size, up to CAP,
+excess reshared by weight until none is above. A source that takes `rate` = target / size times its
+words gives every document floor(rate) certain whole copies, so none is lost to copies of others.
+The words that are lacking come from one more copy of some, long documents likelier than short ones:
 
-    expected = min(CAP, c * root of size)        c such that expected * size adds up to the target
+    p = min(1, c * root of size)        c such that p * size adds up to the words that are lacking
 
 (in proportion to size itself, short documents would hardly ever be taken; the root leaves them a
-share). floor(expected) copies are certain. The rest, p = expected - floor(expected), is a Pareto
+share). Where p is 1 the copy is certain as well. The rest is a Pareto
 order sample with inclusion probabilities p: documents are ranked by q = (u / (1 - u)) / (p / (1 - p)),
 u uniform by a hash of the row, and the smallest are taken until the sample has the words that the
-target still lacks after certain copies, ending where it's nearest. The sample's fixed size is thus
+target still lacks after all certain copies, ending where it's nearest. The sample's fixed size is thus
 one of words, as targets are.
 
 No source is ever sorted as a whole, as one may hold most rows: words are summed by (source, size)
@@ -82,32 +83,36 @@ def tilt(size: Column) -> Column:
     return F.floor(1024 * F.sqrt(size.cast("double"))).cast("long")
 
 
-def copy_rates(sizes: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
-    """targets with `rate`: c for each source. sizes: source and size (above 0) of each document.
+def copy_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with `base`, the copies of every document, and `rate`: c for each source. sizes: source and size (above 0) of each document.
 
-    The windows span a source's distinct sizes, largest first: those before the rate's own are at the cap."""
+    The windows span a source's distinct sizes, largest first: those before the rate's own have p = 1."""
+    base = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) + 1e-12).cast("long")
+    targets = targets.withColumn("base", base)
     by_size = sizes.groupBy("source", "size").agg(F.count("*").alias("n")).withColumn("words", (F.col("n") * F.col("size")).cast("decimal(38,0)"))
     order = Window.partitionBy("source").orderBy(F.desc("size"))
     full = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("decimal(38,0)"))
     rest = F.sum((F.col("words") * tilt(F.col("size"))).cast("decimal(38,0)")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     open_ = by_size.select(F.col("source").alias("s"), full.cast("double").alias("full"), rest.cast("double").alias("rest"))
-    levels = targets.join(open_, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(F.max((F.col("target") - cap * F.col("full")) / F.col("rest")).alias("rate"))
+    lacking = F.col("target") - F.col("base") * F.col("source_size")
+    levels = targets.join(open_, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(F.max((lacking - F.col("full")) / F.col("rest")).alias("rate"))
     return targets.join(levels, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
-def expected_copies(rate: Column, size: Column, cap: float = CAP) -> Column:
-    return F.coalesce(F.least(F.lit(float(cap)), rate * tilt(size)), F.lit(0.0))
+def extra_copy(rate: Column, size: Column) -> Column:
+    """With which probability a document is taken once more."""
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate * tilt(size))), F.lit(0.0))
 
 
-def with_shares(rows: DataFrame, of_source: DataFrame, cap: float = CAP) -> DataFrame:
+def with_shares(rows: DataFrame, of_source: DataFrame) -> DataFrame:
     """rows (source, size, ...) beside their source's row, with certain `copies`, and p of one more.
 
     of_source has one row for each source; adaptive execution broadcasts it when its measured size
     allows, and else joins by sorting and splits a hot source."""
     with_plan = rows.join(of_source.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    expected = expected_copies(F.col("rate"), F.col("size"), cap)
-    copies = F.floor(expected + 1e-9)
-    return with_plan.withColumn("copies", copies.cast("long")).withColumn("p", F.when(expected - copies > 1e-9, expected - copies).otherwise(F.lit(0.0)))
+    once_more = extra_copy(F.col("rate"), F.col("size"))
+    certain = F.floor(once_more + 1e-9)
+    return with_plan.withColumn("copies", (F.col("base") + certain).cast("long")).withColumn("p", F.when(once_more - certain > 1e-9, once_more - certain).otherwise(F.lit(0.0)))
 
 
 def ranked(shared: DataFrame, key: list[str]) -> DataFrame:
@@ -129,16 +134,16 @@ def sample_end(rows: DataFrame, bucket: Column, left: str) -> DataFrame:
     return sums.where("upto >= lacking and upto - words < lacking").select(F.col("source").alias("e_source"), F.col("__b").alias("__end"), (F.col("lacking") - F.col("upto") + F.col("words")).alias("left_in"))
 
 
-def mix_plan(sizes: DataFrame, key: list[str], weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+def mix_plan(sizes: DataFrame, key: list[str], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mix in one row for each source: target, rate, and where the source's sample ends."""
     some = sizes.where("size > 0")
-    rates = cut(copy_rates(some.select("source", "size"), source_targets(sizes.select("source", "size"), weights, cap), cap), "rates")
+    rates = cut(copy_rates(some.select("source", "size"), source_targets(sizes.select("source", "size"), weights, cap)), "rates")
     by_size = some.groupBy("source", "size").agg(F.count("*").alias("n"))
     typical = F.sum(F.col("n") * F.col("p")) / F.sum(F.col("n"))
-    sums = with_shares(by_size, rates, cap).groupBy("source").agg(F.sum(F.col("n") * F.col("copies") * F.col("size")).alias("certain"), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.round(typical, 6))).alias("mean"))
+    sums = with_shares(by_size, rates).groupBy("source").agg(F.sum(F.col("n") * F.col("copies") * F.col("size")).alias("certain"), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.round(typical, 6))).alias("mean"))
     sums = sums.select(F.col("source").alias("s"), "certain", (F.col("mean") / (1 - F.col("mean"))).alias("typical"))
     targets = cut(rates.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("lacking", F.col("target") - F.col("certain")), "targets")
-    rows = ranked(with_shares(some, targets, cap).where("p > 0 and lacking > 0"), key)
+    rows = ranked(with_shares(some, targets).where("p > 0 and lacking > 0"), key)
     ends = cut(sample_end(rows, bucket_of(BUCKETS), "lacking"), "ends")
     inside = rows.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (bucket_of(BUCKETS) == F.col("__end")))
     finer = cut(sample_end(inside.drop("e_source", "__end"), bucket_of(BUCKETS * BUCKETS), "left_in").withColumnRenamed("left_in", "left"), "finer")
@@ -151,13 +156,13 @@ def mix_plan(sizes: DataFrame, key: list[str], weights: tuple[int, ...] = WEIGHT
     return cut(targets.join(limits, F.col("source").eqNullSafe(F.col("b_source")), "left").drop("b_source"), "mix")
 
 
-def copies_of(rows: DataFrame, plan: DataFrame, key: list[str], cap: float = CAP) -> DataFrame:
+def copies_of(rows: DataFrame, plan: DataFrame, key: list[str]) -> DataFrame:
     """rows with source_size, target and n_copies."""
     fine = bucket_of(BUCKETS * BUCKETS)
     # where the words that are lacking exceed those of all with p, every one of them is in
     inside = F.when(F.col("__end").isNull(), F.col("lacking") > 0).otherwise((fine < F.col("__end")) | ((fine == F.col("__end")) & F.coalesce(F.col("__order") <= F.col("last"), F.lit(False))))
     n = F.col("copies") + F.when((F.col("p") > 0) & inside, 1).otherwise(0)
-    return ranked(with_shares(rows, plan, cap), key).select(*(F.col(f"`{c}`") for c in rows.columns), "source_size", "target", n.cast("long").alias("n_copies"))
+    return ranked(with_shares(rows, plan), key).select(*(F.col(f"`{c}`") for c in rows.columns), "source_size", "target", n.cast("long").alias("n_copies"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -72,14 +72,15 @@ def pareto_by_hand(rows, wanted):
     taken = {}
     for source, target in wanted.items():
         mine = [(k, size, u, tie) for k, (s, size, u, tie) in enumerate(rows) if s == source]
-        low, high = 0.0, 3.0
+        low, high, base = 0.0, 3.0, math.floor(target / max(1, sum(size for _, size, _, _ in mine)) + 1e-12)
+        short = target - base * sum(size for _, size, _, _ in mine)
         root = lambda size: int(1024 * math.sqrt(size))
         for _ in range(200):
             c = (low + high) / 2
-            low, high = (c, high) if sum(min(3, c * root(size)) * size for _, size, _, _ in mine) < target else (low, c)
+            low, high = (c, high) if sum(min(1, c * root(size)) * size for _, size, _, _ in mine) < short else (low, c)
         ranks, lacking = [], target
         for k, size, u, tie in mine:
-            e = min(3, high * root(size))
+            e = base + (min(1, high * root(size)) if short > 0 else 0)
             copies = math.floor(e + 1e-9)
             p = e - copies
             taken[k] = copies * size
