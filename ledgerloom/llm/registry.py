@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm import ball_kmeans
 from ledgerloom.llm.additive_search import op5_additive_search
 from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.chat import op9_chat_format
@@ -24,6 +25,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_chat_format": op9_chat_format,
     "op10_secret_scan": op10_secret_scan,
+    "op11_ball_kmeans": ball_kmeans.op11_ball_kmeans,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_ball_kmeans": ball_kmeans.sql(),
+}
