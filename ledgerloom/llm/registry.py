@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import ball_kmeans
+from ledgerloom.llm import ball_kmeans, prefix_trie
 from ledgerloom.llm.additive_search import op5_additive_search
 from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.chat import op9_chat_format
@@ -26,8 +26,10 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_secret_scan": op10_secret_scan,
     "op11_ball_kmeans": ball_kmeans.op11_ball_kmeans,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op11_ball_kmeans": ball_kmeans.sql(),
+    "op13_prefix_trie": prefix_trie.sql(),
 }

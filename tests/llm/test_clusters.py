@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import ball_kmeans, registry
+from ledgerloom.llm import ball_kmeans, prefix_trie, registry
 from tests.test_catalogue import FOLDER, rows_of
 
 
@@ -56,3 +58,58 @@ def test_vectors_that_take_no_part(spark):
     out = ball_kmeans.with_inertia(*ball_kmeans.ball_kmeans(kept)).collect()
     assert len(out) == 3 and {r.inertia for r in out} == {0} and {r.vec_id for r in out if r.cluster != min(x.cluster for x in out if x.vec_id == r.vec_id)} == set()
     assert ball_kmeans.with_inertia(*ball_kmeans.ball_kmeans(kept.where("false"))).collect() == []
+
+
+def plain_trie(rows):
+    """(conv_id, depth) to the rest of each node's row, by whole prefixes in a dictionary."""
+    own = {}
+    said = lambda r, t: hashlib.sha256(f"{len(r)}:{r}{t}".encode()).digest()
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, said(role or "", text or ""), role or "", text or ""))
+    own = {c: [x[3:] for x in sorted(v)] for c, v in own.items()}
+    members, ends = {}, {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        whole = (*own.get(c - int(math.fmod(c, 100)), [])[:h], *turns[h:])
+        for d in range(len(whole) + 1):
+            members.setdefault(whole[:d], []).append(c)
+        ends.setdefault(whole, []).append(c)
+    children = {n: [m for m in members if len(m) == len(n) + 1 and m[: len(n)] == n] for n in members}
+    out = {}
+    for n, m in members.items():
+        below = [u for u in members if u[: len(n)] == n]
+        saved = sum((len(members[u]) - 1) * len(u[-1][1]) for u in below if u)
+        digest = hashlib.sha256(",".join(map(str, sorted(ends.get(n, [])))).encode()).hexdigest()
+        out[min(m), len(n)] = (min(members[n[:-1]]) if n else None, len(m), len(children[n]), sum(not children[u] for u in below), saved, digest)
+    return out
+
+
+def trie_rows(df):
+    return {(r.conv_id, r.depth): (r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in df.collect()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_trie_against_whole_prefixes(spark, monkeypatch, seed):
+    monkeypatch.setattr(prefix_trie, "BLOCK", 3)
+    rng = np.random.default_rng(seed)
+    rows = [(int(c), None if rng.random() < 0.1 else int(rng.integers(0, 5)), [None, "user", "assistant"][rng.integers(3)], [None, "", "ä\U0001f600", "no"][rng.integers(4)]) for c in rng.choice([*range(-3, 6), 100, 101, 102, 103, 200, 205, 399], 120)]
+    rows += [(103, 9, "user", "again")] * 17 + [(c, 1, "user", "alike") for c in range(600, 640)] + [(None, 1, "user", "nobody"), (205, None, None, None)]
+    rows += [(300, t, "user", "deep" * (t % 2)) for t in range(30)]
+    found = prefix_trie.prefix_trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("key", F.lit("clash")).withColumn("d", F.lit(1)).repartition(4))
+    assert found.count() == len(trie_rows(found)) and trie_rows(found) == plain_trie(rows)
+
+
+def test_trie_of_few_rows(spark):
+    rows = spark.createDataFrame([(8, 1, "user", "x")], "conv_id long, turn long, role string, text string")
+    assert prefix_trie.prefix_trie(rows.where("false")).collect() == []
+    # h of 8 is above 0 and its base is absent, so its one turn goes and a member of the root is left
+    assert zlib.crc32(b"8") % 6 > 0 and trie_rows(prefix_trie.prefix_trie(rows)) == {(8, 0): (None, 1, 0, 1, 0, hashlib.sha256(b"8").hexdigest())}
+
+
+def test_digests_from_pieces(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else "b", i - 50) for i in range(300)], "key string, conv_id long").repartition(7)
+    parts = prefix_trie.pieces(rows, 40)
+    assert parts.count() > 20 and max(len(r.piece) for r in parts.collect()) < 50
+    for key, sha in prefix_trie.digests(parts).collect():
+        assert sha == hashlib.sha256(",".join(str(i - 50) for i in range(300) if ("a" if i % 3 else "b") == key).encode()).hexdigest()
