@@ -39,3 +39,10 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def repeated(df: DataFrame, n: str, block: int = 4096) -> DataFrame:
+    """Each row as often as column n says, which goes. No array is longer than n / block or block."""
+    blocks = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / block))).alias("__b"))
+    last = F.least(F.lit(block), F.col(n) - F.col("__b") * block)
+    return blocks.select(*(c for c in df.columns if c != n), F.explode(F.sequence(F.lit(1).cast("long"), last)).alias("__i")).drop("__i")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import ball_kmeans, prefix_trie
+from ledgerloom.llm import ball_kmeans, multiset_hash, prefix_trie
 from ledgerloom.llm.additive_search import op5_additive_search
 from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.chat import op9_chat_format
@@ -26,6 +26,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_secret_scan": op10_secret_scan,
     "op11_ball_kmeans": ball_kmeans.op11_ball_kmeans,
+    "op12_multiset_hash": multiset_hash.op12_multiset_hash,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
