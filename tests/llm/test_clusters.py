@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ball_kmeans, prefix_trie, registry
+from ledgerloom.llm import ball_kmeans, multiset_hash, prefix_trie, registry
 from tests.test_catalogue import FOLDER, rows_of
 
 
@@ -113,3 +116,67 @@ def test_digests_from_pieces(spark):
     assert parts.count() > 20 and max(len(r.piece) for r in parts.collect()) < 50
     for key, sha in prefix_trie.digests(parts).collect():
         assert sha == hashlib.sha256(",".join(str(i - 50) for i in range(300) if ("a" if i % 3 else "b") == key).encode()).hexdigest()
+
+
+def plain_vector(text):
+    """A fingerprint's components, one paragraph at a time: 16 words of SHA-512, 60 counts of bits, the count of pieces."""
+    exact, bits, n = [0] * 16, [[0] * 4 for _ in range(15)], 0
+    for paragraph in text.split("\n"):
+        d = hashlib.sha512(paragraph.encode()).hexdigest()
+        exact = [(x + int(d[8 * i : 8 * i + 8], 16)) % 2**32 for i, x in enumerate(exact)]
+        for piece in re.findall(r"(?a:(?:[^\s.,;:!?]++[ \t]++){0,3}+\S++)", paragraph):
+            h, n = xxhash.xxh64_intdigest(piece.encode(), seed=42), n + 1
+            for i in range(15):
+                for j in range(4):
+                    bits[i][j] += h >> (i + 15 * j) & 1
+    return [*exact, *(sum(b << 15 * j for j, b in enumerate(four)) % 2**60 for four in bits), n], [2 * b - n for four in bits for b in four]
+
+
+def plain_likeness(a, b):
+    (va, sa), (vb, sb) = plain_vector(a), plain_vector(b)
+    both, apart = sum(x * x for x in sa + sb), sum((x - y) ** 2 for x, y in zip(sa, sb))
+    return 1.0 if va == vb else max(0.0, min(1.0, (both - apart) / both)) if both else 0.0
+
+
+def plain_print(text):
+    v = plain_vector(text)[0]
+    return "".join(f"{x:0{15 if 16 <= i < 31 else 8}x}" for i, x in enumerate(v))
+
+
+TEXTS = ["", "a", "one two three four five, six seven.\nnext line here", "next line here\none two three four five, six seven.", "\n\n", "\U0001f600ab\u00e9 \u00e9", "x " * 3000 + "\n" + "y, " * 40, "w" * 5000]
+
+
+def test_fingerprints_against_plain_sums(spark):
+    pairs = [(a, b) for a in TEXTS for b in TEXTS]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", multiset_hash.vector(F.col("a")).alias("va"), multiset_hash.vector(F.col("b")).alias("vb"))
+    both = multiset_hash.combined(F.col("va"), F.col("vb"))
+    found = df.select("a", "b", "va", multiset_hash.fingerprint(F.col("va")).alias("print"), multiset_hash.likeness(F.col("va"), F.col("vb")).alias("near"), (both == multiset_hash.vector(F.concat("a", F.lit("\n"), "b"))).alias("adds"), (multiset_hash.combined(both, F.col("vb"), -1) == F.col("va")).alias("takes")).collect()
+    for r in found:
+        assert r.va == plain_vector(r.a)[0] and r.print == plain_print(r.a) and r.adds and r.takes
+        assert r.near == pytest.approx(plain_likeness(r.a, r.b), abs=1e-12)
+    prints = {t: plain_print(t) for t in TEXTS}
+    assert prints[TEXTS[2]] == prints[TEXTS[3]] and len(set(prints.values())) == len(TEXTS) - 1
+
+
+def test_likeness_follows_what_two_texts_share(spark):
+    rng = np.random.default_rng(5)
+    lines = [" ".join(map(str, rng.integers(0, 10**6, 4))) for _ in range(3000)]
+    rows = [("\n".join(lines[:1000]), "\n".join(lines[1000 - k : 2000 - k]), k / 1000) for k in (0, 250, 500, 750, 1000)]
+    out = spark.createDataFrame(rows, "a string, b string, share double").select("share", multiset_hash.likeness(multiset_hash.vector(F.col("a")), multiset_hash.vector(F.col("b"))).alias("near")).collect()
+    assert all(abs(r.share - r.near) < 0.3 for r in out) and out[-1].near == 1.0
+
+
+def test_documents_follow_each_other(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "another under three\n"), (None, "no id"), (40, None), (41, "said twice again"), (41, "said twice again"), (41, "said twice again"), (2**40, "the last one of them")]
+    docs = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, key string, need int").repartition(5)
+    found = multiset_hash.fingerprints(docs)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = sorted(((r[0] is not None, r[0] or 0, hashlib.sha256(f"{'-' if r[0] is None else r[0]}:{r[1] or ''}".encode()).hexdigest()), r[0], r[1] or "") for r in rows)
+    want = []
+    for (_, i, t), (_, _, after) in zip(order, order[1:] + order[:1]):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((i, len(t), sha(edited), plain_print(t), plain_print(edited), round(plain_likeness(t, edited), 9), round(plain_likeness(t, after), 9)))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found.collect()) == Counter(want)
+    one = multiset_hash.fingerprints(docs.where("doc_id = 2")).first()
+    assert one.near_next == 1.0 and one.edited_sha256 == sha(TEXTS[2][: len(TEXTS[2]) - len(TEXTS[2]) // 2] + TEXTS[2][: len(TEXTS[2]) // 2])
+    assert multiset_hash.fingerprints(docs.where("false")).collect() == []
