@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.functions import vectors as V
 from ledgerloom.lineage import cut
+from ledgerloom.operators import inverted as I
 from ledgerloom.operators import search as S
 from ledgerloom.tables import table
 
@@ -34,8 +35,22 @@ stats as (select count(*)::DOUBLE as n, avg(length) as mean, {df} from counted)
 select doc_id, round({score}, 6) as score from counted, stats where {' or '.join(f'tf_{k} > 0' for k in range(len(terms)))} order by score desc, doc_id limit {limit}"""
 
 
+def documents_index(spark, d):
+    """Built by the first query that asks for it."""
+    return I.index_of(table(spark, d, "documents"), "doc_id", "text")
+
+
+def linked_index(spark, d):
+    """The index of the documents that have a vector."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return I.index_of(table(spark, d, "documents").join(vectors, "doc_id", "left_semi"), "doc_id", "text", "linked")
+
+
+PLAIN = dict.fromkeys(TERMS, 1.0)
+
+
 def lexical_bm25(spark, d):
-    return S.top(S.bm25(table(spark, d, "documents"), "doc_id", "text", TERMS), "doc_id", 50).select("doc_id", "score")
+    return I.best(documents_index(spark, d), PLAIN, 50).select("doc_id", "score")
 
 
 FUZZY = "erther wither"
@@ -43,7 +58,7 @@ FUZZY = "erther wither"
 
 def lexical_fuzzy(spark, d):
     """Words, terms within their edits, and the boosted phrase."""
-    return S.top(S.lexical(table(spark, d, "documents"), "doc_id", "text", FUZZY), "doc_id", 50).select("doc_id", "score")
+    return S.top(I.lexical(documents_index(spark, d), FUZZY), "doc_id", 50).select("doc_id", "score")
 
 
 FUZZY_SQL = r"""with docs as (select doc_id, lower(text) as low, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') as t from documents),
@@ -72,9 +87,9 @@ select vec_id, round(sum(r), 6) as rrf, max(score) as best from r group by vec_i
 
 
 def relevance_gate(spark, d):
-    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
     semantic = S.top(S.cosines(e, "doc_id", S.vector_of(e, "doc_id", QUERY_ID)), "doc_id", 1000)
-    lexical = S.top(S.bm25(docs, "doc_id", "text", TERMS), "doc_id", 10)
+    lexical = I.best(documents_index(spark, d), PLAIN, 10)
     return S.gate(semantic, lexical, "doc_id", 0.30, 1.0).select("doc_id", F.round("fused", 6).alias("rrf"))
 
 
@@ -94,7 +109,7 @@ def hybrid_rrf(spark, d):
     both = docs.select("doc_id").join(vectors, "doc_id").select("doc_id", *(V.cosine(F.col("embedding"), V.literal(q)).alias(f"s{k}") for k, q in enumerate(queries)))
     both = cut(both, "similarities")
     semantic, titles = (S.top(both.select("doc_id", F.col(f"s{k}").alias("score")), "doc_id", n) for k, n in ((0, 150), (1, 50)))
-    lexical = S.top(S.bm25(docs.join(vectors.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text", TERMS), "doc_id", 250)
+    lexical = I.best(linked_index(spark, d), PLAIN, 250)
     fused = S.fuse([(semantic, 1.0), (titles, 0.5), (lexical, 1.0)], "doc_id")
     best = cut(fused.select("doc_id", F.round("fused", 4).alias("rrf")).orderBy(F.desc("rrf"), "doc_id").limit(10), "best")
     return docs.join(F.broadcast(best), "doc_id").select("doc_id", "rrf", F.left("text", F.lit(150)).alias("excerpt"), "source").orderBy(F.desc("rrf"), "doc_id")
@@ -115,13 +130,13 @@ def hybrid_records(spark, d):
     """All five branches over records of several kinds: note chunks, collection titles, agent names, item titles, words.
 
     A vector is of the kind that its number says; eight note chunks, or texts, belong to one owner."""
-    e, docs = table(spark, d, "embeddings"), table(spark, d, "documents").select("doc_id", "text")
+    e = table(spark, d, "embeddings")
     kind = lambda c: F.pmod(c, F.lit(4))
     record = lambda c: F.when(kind(c) == 0, F.concat(F.lit("owner"), F.floor(c / 8).cast("string"))).when(kind(c) == 1, F.concat(F.lit("collection"), c.cast("string"))).when(kind(c) == 2, F.concat(F.lit("agent"), c.cast("string"))).otherwise(F.concat(F.lit("item"), c.cast("string")))
     names = ("note", "collection title", "agent name", "item title")
     near = cut(S.cosines(e, "vec_id", S.vector_of(e, "vec_id", QUERY_ID)).select(record(F.col("vec_id")).alias("rec"), "score", kind(F.col("vec_id")).alias("kind"), F.col("vec_id").cast("string").alias("excerpt")), "near")
     branches = [(near.where(F.col("kind") == k).select("rec", "score", F.lit(names[k]).alias("source"), "excerpt"), n, w) for k, (n, w) in enumerate(((150, 1.0), (50, 1.0), (25, 0.5), (150, 1.0)))]
-    said = S.bm25(docs, "doc_id", "text", TERMS)
+    said = I.scores(documents_index(spark, d), PLAIN)
     words = said.select(record(F.col("doc_id")).alias("rec"), "score", F.when(kind(F.col("doc_id")) == 0, "note word match").otherwise("word match").alias("source"), F.col("doc_id").cast("string").alias("excerpt"))
     return S.hybrid([*branches, (words, 250, 1.0)], "rec", 50)
 
