@@ -69,7 +69,7 @@ def normal_name(name: Column) -> Column:
     """Lower case, no punctuation, no trailing life dates, corporate forms spelled out."""
     out = F.regexp_replace(F.lower(name), r"""[.,;:'"()\[\]]""", " ")
     out = F.trim(F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), r"\s+", " "))
-    out = F.trim(F.regexp_replace(out, r"\s*\b\d{4}-(\d{4})?$", ""))
+    out = F.trim(F.regexp_replace(out, r"\s*\b\d{4}\s*-\s*(\d{4})?$", ""))
     for form, full in FORMS:
         out = F.regexp_replace(out, rf"\b{re.escape(form)}\b", full)
     return out
@@ -85,7 +85,7 @@ def name_tokens(normal: Column) -> Column:
 
 
 def core_name(normal: Column) -> Column:
-    return F.array_join(F.array_except(F.split(normal, " "), F.array(*map(F.lit, CORPORATE))), " ")
+    return F.array_join(F.filter(F.split(normal, r"\s+"), lambda t: (t != "") & ~t.isin(*CORPORATE)), " ")
 
 
 def year_of(value: Column) -> Column:

@@ -90,7 +90,7 @@ def successions(spark, d):
     n = table(spark, d, "nation")
     names = n.select(F.col("n_nationkey").alias("id"), F.concat(F.lower("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(" company")).otherwise(F.lit(""))).alias("normal"))
     cores = names.select("id", T.core_name(F.col("normal")).alias("core"))
-    relations = n.select(F.col("n_nationkey").alias("src"), F.pmod(F.col("n_nationkey") * 3 + 1, F.lit(25)).alias("dst"), F.when(F.col("n_nationkey") % 3 == 0, "hasSuccessor").when(F.col("n_nationkey") % 3 == 1, "wasMergedInto").otherwise("knows").alias("type"))
+    relations = n.select(F.col("n_nationkey").alias("src"), F.pmod(F.col("n_nationkey") * 3 + 1, F.lit(25)).alias("dst"), F.when(F.col("n_nationkey") % 3 == 0, "hasSuccessor").when(F.col("n_nationkey") % 3 == 1, "isSuccessorOf").when(F.col("n_nationkey") % 2 == 0, "wasMergedInto").otherwise("knows").alias("type"))
     return R.succession_pairs(relations, cores)
 
 
@@ -135,7 +135,8 @@ def resolution_stats(spark, d):
     n = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"), F.max("p_size").alias("size"))
     entities = n.select("id", F.lit("agent").alias("type"), F.lit("person").alias("agent_type"), F.array("p_name").alias("names"), F.array(T.name_tokens(F.col("p_name"))).alias("tokens"), (F.lit(1850) + F.col("size")).cast("int").alias("start"), F.when(F.col("size") % 2 == 0, F.lit(1860)).cast("int").alias("end"), F.lit(None).cast("int").alias("year"), F.array(F.substring_index("p_name", " ", 1)).alias("neighbours"))
     relations = n.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("hasSuccessor").alias("type"))
-    return R.resolve(entities, relations)[1]
+    judge = lambda pairs: pairs.select("a", "b", F.lit(True).alias("same_entity"), F.col("score").alias("confidence"), "reason")
+    return R.resolve(entities, relations, judge=judge)[1]
 
 
 CONTEXT_CHARS = 6000

@@ -72,17 +72,15 @@ PIVOT = "select user_id, 'date_' || event_type || '_expression' as key, round(ma
 
 def normalise_names(spark, d):
     p = table(spark, d, "part")
-    name = F.concat(F.initcap("p_name"), F.lit(" & "), F.col("p_brand"), F.lit(" Co., "), F.when(F.col("p_size") % 2 == 0, F.lit("1850-1920")).otherwise(F.lit("Inc.")))
+    name = F.concat(F.initcap("p_name"), F.lit(" & "), F.col("p_brand"), F.lit(" Co., "), F.when(F.col("p_size") % 4 == 0, F.lit("1850-1920")).when(F.col("p_size") % 4 == 2, F.lit("1850 - ")).otherwise(F.lit("Inc. and Company")))
     normal = T.normal_name(name)
     return p.select("p_partkey", normal.alias("normal"), T.core_name(normal).alias("core"), F.size(T.name_tokens(normal)).cast("long").alias("n_tokens"))
 
 
-_forms = "n0"
-for _a, _b in T.FORMS:
-    _forms = f"regexp_replace({_forms}, '\\b{_a}\\b', '{_b}', 'g')"
-NAMES = rf"""with a as (select p_partkey, lower(p_name || ' & ' || p_brand || ' Co., ' || case when p_size % 2 = 0 then '1850-1920' else 'Inc.' end) as x from part),
+NAMES = r"""with a as (select p_partkey, lower(p_name || ' & ' || p_brand || ' Co., ' || case p_size % 4 when 0 then '1850-1920' when 2 then '1850 - ' else 'Inc. and Company' end) as x from part),
 b as (select p_partkey, trim(regexp_replace(replace(regexp_replace(x, '[.,;:''"()\[\]]', ' ', 'g'), '&', ' and '), '\s+', ' ', 'g')) as y from a),
-c as (select p_partkey, trim(regexp_replace(y, '\s*\b\d{{4}}-(\d{{4}})?$', '')) as n0 from b), e as (select p_partkey, {_forms} as normal from c)
+c as (select p_partkey, trim(regexp_replace(y, '\s*\b\d{4}\s*-\s*(\d{4})?$', '')) as n0 from b),
+e as (select p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(n0, '\bco\b', 'company', 'g'), '\bcorp\b', 'corporation', 'g'), '\binc\b', 'incorporated', 'g'), '\brail road\b', 'railroad', 'g'), '\brail-road\b', 'railroad', 'g') as normal from c)
 select p_partkey, normal, array_to_string(list_filter(string_split(normal, ' '), lambda t: t not in ('company', 'corporation', 'incorporated')), ' ') as core,
  len(list_distinct(list_filter(string_split(normal, ' '), lambda t: t not in ('', 'the', 'of', 'and', '&')))) as n_tokens from e"""
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.lineage import cut
 from ledgerloom.operators import resolution as R
-from ledgerloom.operators.components import components
 from ledgerloom.tables import table
 
 
@@ -51,11 +51,10 @@ select m.id, count(*) as n_matches, case when count(*) = 1 then min(other) end a
 
 
 def cluster_components(spark, d):
-    scored = R.scored_pairs(pairs(spark, d), entities(spark, d), "id").persist()
+    scored = cut(R.scored_pairs(pairs(spark, d), entities(spark, d), "id"), "scored")
     accepted = scored.where("score >= 0.35").withColumn("auto", F.col("score") >= 0.4)
     conflicts = scored.where("score < 0.35 and (a + b) % 7 = 0").select("a", "b")
-    roots = components(accepted.select("a", "b"))
-    return R.clusters(accepted, conflicts, roots)
+    return R.clusters(accepted, R.pair_facts(conflicts))[0]
 
 
 def merge_canonical(spark, d):
