@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph as G
+from ledgerloom.operators.intervals import hierarchy_of
 from ledgerloom.tables import table
 
 
@@ -27,9 +28,14 @@ def tree(spark, d, lines=False):
     return G.union_all(parts)
 
 
+def whole_tree(spark, d):
+    """Labelled by the first query that asks for it."""
+    return hierarchy_of(tree(spark, d, lines=True), "lines")
+
+
 def closure_paths(spark, d):
     roots = table(spark, d, "region").select(key("R", "r_regionkey").alias("node"))
-    return G.closure(tree(spark, d, lines=True), roots).groupBy("root", "depth").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    return whole_tree(spark, d).descendants(roots).groupBy("root", "depth").agg(F.count("*").alias("n"), F.min("node").alias("first"))
 
 
 TREE = """edges as (select 'R' || n_regionkey as src, 'N' || n_nationkey as dst from nation
@@ -42,9 +48,8 @@ select root, depth, count(*) as n, min(node) as first from walk group by root, d
 
 
 def ancestor_walk(spark, d):
-    parents = tree(spark, d).select(F.col("dst").alias("node"), F.col("src").alias("parent"))
     starts = table(spark, d, "orders").select(key("O", "o_orderkey").alias("node"))
-    return G.ancestors(parents, starts).select("start", "node", "depth")
+    return whole_tree(spark, d).ancestors(starts).select("start", "node", "depth")
 
 
 ANCESTORS = f"""with recursive {TREE.format(lines='')}, walk as (select 'O' || o_orderkey as start, 'O' || o_orderkey as node, 0 as depth from orders
@@ -53,7 +58,8 @@ ANCESTORS = f"""with recursive {TREE.format(lines='')}, walk as (select 'O' || o
 
 def descendants_per_root(spark, d):
     roots = table(spark, d, "region").select(key("R", "r_regionkey").alias("node"))
-    return G.descendants_per_root(tree(spark, d, lines=True), roots).orderBy(F.desc("n"), "root").limit(1)
+    sizes = whole_tree(spark, d).labels.join(roots, "node").select(F.col("node").alias("root"), (F.col("size") - 1).alias("n"))
+    return sizes.orderBy(F.desc("n"), "root").limit(1)
 
 
 DESCENDANTS = f"""with recursive {TREE.format(lines=LINES)}, walk as (select 'R' || r_regionkey as root, 'R' || r_regionkey as node, 0 as depth from region
