@@ -2,20 +2,27 @@
 
 Base kinds are patterns alone. Added kinds are reported only once a candidate has been decoded and
 its inside parsed: DER keys whose nested lengths fill the candidate exactly (of PKCS #8, the key
-within as well), OpenSSH private keys whose length fields add up, either of them on one line or
-wrapped, PEM blocks around either, signed tokens whose header is a JSON object that names an
-algorithm and whose claims are another, and base64 or hex that hides, at any place and alignment, a
-DER key, a PEM block or an access id.
+within as well), OpenSSH private keys whose length fields add up, either of them in base64 or hex, on one
+line or wrapped (indented, quoted and joined as in code, with line ends escaped, hex with colons),
+PEM blocks around either, signed tokens whose header is a JSON object that names an algorithm and
+whose claims are another, and base64 or hex that hides, at any place and alignment, a DER key, a PEM
+block, an access id or base64 of one of them.
+
+Every step takes time in proportion to the text, whatever it holds: lines are joined in one walk, a
+run is decoded once for each alignment, a key is parsed only where its first length leads to the end
+of what was decoded, and a PEM block ends where the next begins.
 
 Spans are code points, end exclusive. A null or empty text has no spans. A base span is never
 dropped; an added span may lie on it. Each row is scanned by itself: rows that repeat a doc_id have
-each their own result.
+each their own result. An empty table gives an empty result. Columns other than doc_id and text
+aren't looked at by the scan, and kept by redaction.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -44,14 +51,22 @@ HEX_KEY = re.compile(r"[0-9A-Fa-f]{36,}")
 STARTS = re.compile(r"\A|(?<=[+/_-])")
 #: Base64 of a DER sequence begins with M, of the OpenSSH magic with b3Bl.
 KEY_STARTS = re.compile(r"(?<![A-Za-z0-9])(?=M|b3Bl)")
-#: A key may go on over lines of one width, their ends escaped or not.
-WRAPPED = re.compile(r"([A-Za-z0-9+/_-]{40,100})((?:(?:\r?\n|(?:\\+[rn])+)[A-Za-z0-9+/_-]{1,100})+)={0,2}")
+#: What may go on over lines: runs of digits, and what parts two of them. An operator before a line's run counts only with a quote.
+RUN = re.compile(r"[A-Za-z0-9+/_:-]{20,}+={0,2}+")
+MORE = re.compile(r"[A-Za-z0-9+/_:-]++={0,2}+")
+JOIN = re.compile(r"""((?:\\++[rn])*+)["'`]?+[ \t]*+[,;+.&\\]?+[ \t]*+((?:\r?\n[ \t]*+)*+)(?:[+.&][ \t]*+(?=["'`]))?+["'`]?+""")
+#: Digits of the shortest thing that lines hold together.
+LEAST = 48
 #: Sequences that begin with a version, as private keys do.
 DER_START = re.compile(rb"\x30(?:\x81.|\x82..|[\x20-\x7f])\x02\x01[\x00-\x03]", re.S)
 HIDDEN = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----|AKIA[A-Z0-9]{14,}")
-PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+#: Base64 within what has been decoded, and how often that is followed.
+INNER = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+")
+DEEPEST = 3
 #: Line ends as JSON and env files write them, escaped once or more.
-ESCAPED_END = re.compile(r"\\+[rn]")
+ESCAPED_END = re.compile(r"(?<!\\)\\++[rn]")
+QUOTED_END = re.compile(r"""["'`][ \t]*+[+.&,;\\]?+[ \t]*+\r?\n[ \t]*+[+.&]?+[ \t]*+["'`]?""")
 SSH_MAGIC = b"openssh-key-v1\x00"
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -78,12 +93,22 @@ def der_items(raw: bytes, start: int = 0, end: int | None = None) -> list[tuple[
     return found
 
 
-def is_der_key(raw: bytes, start: int = 0) -> bool:
-    """Whether raw from start on is one private key: plain RSA, DSA or EC, PKCS #8, or encrypted PKCS #8."""
-    top = der_items(raw, start)
-    if not top or len(top) != 1 or top[0][0] != 0x30:
+def der_end(raw: bytes, start: int) -> tuple[int, int]:
+    """Where the contents of the value at start begin and end, by its length."""
+    if start + 2 > len(raw):
+        return start, len(raw) + 1
+    n = raw[start + 1] & 0x7F if raw[start + 1] >= 0x80 else 0
+    inside = start + 2 + n
+    return inside, inside + (int.from_bytes(raw[start + 2 : inside], "big") if n else raw[start + 1])
+
+
+def is_der_key(raw: bytes, start: int = 0, end: int | None = None) -> bool:
+    """Whether raw from start to end is one private key: plain RSA, DSA or EC, PKCS #8, or encrypted PKCS #8."""
+    end = len(raw) if end is None else end
+    inside, leads_to = der_end(raw, start)
+    if leads_to != end or raw[start] != 0x30:
         return False
-    items = der_items(raw, *top[0][1:])
+    items = der_items(raw, inside, end)
     if not items or len(items) < 2:
         return False
     tags = [t for t, _, _ in items]
@@ -138,22 +163,22 @@ def whole_key(raw: bytes | None, start: int = 0) -> str | None:
     return "ssh_key" if is_ssh_key(raw, start) else None
 
 
-def hidden_at(raw: bytes | None) -> int | None:
-    """Where in raw a PEM block, an access id or a DER key begins."""
+def hidden_at(raw: bytes | None, depth: int = 1) -> int | None:
+    """Where in raw a PEM block, an access id, a DER key, or base64 that hides one of them, begins."""
     if not raw:
         return None
     found = [m.start()] if (b"AKIA" in raw or b"-----BEGIN " in raw) and (m := HIDDEN.search(raw)) else []
     for m in DER_START.finditer(raw):
-        head = raw[m.start() + 1]
-        n = head & 0x7F if head >= 0x80 else 0
-        end = m.start() + 2 + n + (int.from_bytes(raw[m.start() + 2 : m.start() + 2 + n], "big") if n else head)
-        if end <= len(raw) and is_der_key(raw[m.start() : end]):
+        end = der_end(raw, m.start())[1]
+        if end <= len(raw) and is_der_key(raw, m.start(), end):
             found.append(m.start())
             break
+    if not found and depth < DEEPEST:
+        found += [m.start() for m in INNER.finditer(raw) if base64_keys(m[0].decode(), depth + 1)][:1]
     return min(found, default=None)
 
 
-def base64_keys(run: str) -> list[tuple[int, str]]:
+def base64_keys(run: str, depth: int = 1) -> list[tuple[int, str]]:
     """(start, kind) of what a run of base64 hides.
 
     What stands before the encoded part may shift it, so the run is decoded at all four alignments.
@@ -165,7 +190,7 @@ def base64_keys(run: str) -> list[tuple[int, str]]:
         raw = from_base64(body[k : len(body) - odd])
         whole = [] if odd else [(s, kind) for s in keys if s % 4 == k and (kind := whole_key(raw, (s - k) // 4 * 3))]
         found += whole
-        if not whole and (at := hidden_at(raw)) is not None:
+        if not whole and (at := hidden_at(raw, depth)) is not None:
             found.append((next((s for s in starts if s % 4 == k and (s - k) // 4 * 3 <= at), 0), "encoded"))
     return found
 
@@ -180,13 +205,49 @@ def hex_keys(run: str) -> list[tuple[int, str]]:
     return found
 
 
-def wrapped_key(m: re.Match) -> tuple[int, str] | None:
-    """(start, kind) of a key over several lines, which begins on the first."""
-    rest = re.split(r"(?:\r?\n|\\+[rn])+", m[2])[1:]
-    if any(len(x) != len(rest[0]) for x in rest[:-1]) or len(rest[-1]) > len(rest[0]):
+def joined_runs(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, runs) of runs that go on over lines of one width, of which the last may be shorter, and of single runs with colons.
+
+    The first run may begin anywhere in its line. A run that ends one block may begin the next, so each is read twice at most."""
+    found, done = [], 0
+    for m in RUN.finditer(text):
+        if m.start() < done:
+            continue
+        start, end, runs = m.start(), m.end(), [m[0]]
+        while (gap := JOIN.match(text, end)) and (gap[1] or gap[2]) and (more := MORE.match(text, gap.end())):
+            widths = [len(runs[1]), len(runs[-1])] if len(runs) > 1 else [len(more[0])]
+            if len(more[0]) > widths[0] or widths[-1] != widths[0] or "=" in runs[-1]:
+                break
+            runs.append(more[0])
+            end = more.end()
+        if len(runs) > 1 or ":" in m[0]:
+            found.append((start, end, runs))
+        done = end - len(runs[-1]) if len(runs) > 2 else m.end()
+    return found
+
+
+def joined_key(runs: list[str]) -> tuple[int, str] | None:
+    """(start, kind) of what runs hold together: hex, with colons or without, or base64."""
+    digits = "".join(runs).replace(":", "")
+    if len(digits) < LEAST:
+        return None
+    lead = runs[0].rfind(":", 0, 12) if not re.fullmatch(r"[0-9A-Fa-f:]+", runs[0]) else -1  # a name before the key
+    if re.fullmatch(r"[0-9A-Fa-f]+", digits):
+        if found := hex_keys(digits):
+            return found[0]
+    body = "".join(runs).rstrip("=")[lead + 1 :]
+    if ":" in body or "=" in body:
         return None
-    body = m[1] + "".join(rest)
-    return next(((k.start(), kind) for k in KEY_STARTS.finditer(m[1]) if (kind := whole_key(from_base64(body[k.start() :])))), None)
+    keys = [m.start() for m in KEY_STARTS.finditer(runs[0], lead + 1)]
+    for k in range(4):
+        odd = (len(body) - k) % 4 == 1
+        raw = from_base64(body[k : len(body) - odd])
+        for s in keys if not odd else ():
+            if (s - lead - 1) % 4 == k and (kind := whole_key(raw, (s - lead - 1 - k) // 4 * 3)):
+                return s, kind
+        if hidden_at(raw) is not None:
+            return lead + 1, "encoded"
+    return None
 
 
 def is_token_header(text: str) -> bool:
@@ -208,6 +269,21 @@ def is_token(m: re.Match) -> bool:
         return False
 
 
+def pem_blocks(text: str) -> list[tuple[int, int]]:
+    """Blocks that hold a key, from their BEGIN to the END of the same name before any other BEGIN."""
+    found, begin = [], None
+    for m in PEM_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin and begin[2] == m[2]:
+            body = QUOTED_END.sub("\n", ESCAPED_END.sub("\n", text[begin.end() : m.start()]))
+            body = re.sub(r"^[ \t]*+[A-Za-z-]++:.*$|[\s\"'`]", "", body, flags=re.M)
+            if whole_key(from_base64(body)):
+                found.append((begin.start(), m.end()))
+            begin = None
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     low, found = text.lower(), []
     if any(k in low for k in KEYWORDS):
@@ -224,19 +300,12 @@ def added_spans(text: str) -> list[tuple[int, str, int]]:
         found += [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_token(m)]
     for pattern, keys in ((BASE64, base64_keys), (HEX_KEY, hex_keys)):
         found += [(m.start() + k, kind, m.end()) for m in pattern.finditer(text) for k, kind in keys(m[0])]
-    found += [(m.start() + key[0], key[1], m.end()) for m in WRAPPED.finditer(text) if (key := wrapped_key(m))]
-    if "-----BEGIN " in text:
-        for m in PEM_BEGIN.finditer(text):
-            close = f"-----END {m[1]}-----"
-            end = text.find(close, m.end())
-            if end < 0:
-                continue
-            body = ESCAPED_END.sub("\n", text[m.end() : end])
-            body = re.sub(r"^[A-Za-z-]+:.*$|\s", "", body, flags=re.M)
-            if whole_key(from_base64(body)):
-                end += len(close)
-                found = [x for x in found if x[0] < m.start() or x[2] > end]  # parts of the block
-                found.append((m.start(), "pem_key", end))
+    found += [(start + key[0], key[1], end) for start, end, runs in joined_runs(text) if (key := joined_key(runs))]
+    blocks = pem_blocks(text) if "-----BEGIN " in text else []
+    if blocks:  # what lies within a block is part of it; blocks don't overlap
+        starts = [start for start, _ in blocks]
+        within = lambda x: (at := bisect.bisect_right(starts, x[0]) - 1) >= 0 and x[2] <= blocks[at][1]
+        found = [x for x in found if not within(x)] + [(start, "pem_key", end) for start, end in blocks]
     return in_order(found)
 
 

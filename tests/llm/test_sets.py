@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -347,6 +348,56 @@ def test_keys_inside_and_over_lines():
     assert kinds(f"t {head}.bm90anNvbg.abc") == [] and kinds(f"t {head}.eyJhIjoxfQ.abcde") == []
 
 
+def test_keys_as_files_and_code_write_them():
+    """Indented, quoted and joined lines, hex over lines and with colons, base64 of base64."""
+    key, code = rsa_key(), lambda b: base64.b64encode(b).decode()
+    for raw, kind in ((key, "der_key"), (ssh_key() + b"", "ssh_key")):
+        coded, digits = code(raw), raw.hex()
+        cut = lambda x, n: [x[k : k + n] for k in range(0, len(x), n)]
+        pairs = ":".join(cut(digits, 2))
+        forms = [
+            "key: |\n" + "".join(f"    {x}\n" for x in cut(coded, 64)),
+            "k = " + " +\n    ".join(f'"{x}"' for x in cut(coded, 60)) + ";",
+            "k = [\n" + "".join(f"  '{x}',\r\n" for x in cut(coded, 64)) + "]",
+            "k = " + ' \n  + '.join(f'"{x}\\n"' for x in cut(coded, 60)),
+            "export K=" + "\\\n".join(cut(coded, 50)),
+            "\n".join(cut(digits, 64)), "x:\n" + "\n".join(f"  {x}" for x in cut(digits.upper(), 40)),
+            pairs, "\n".join(cut(pairs, 45)), "key:\n" + "".join(f"    {x}\n" for x in cut(pairs, 60)),
+        ]
+        for text in forms:
+            assert kind in kinds(text), text
+            assert kinds(text.replace(coded[10:14], "AAAA").replace(digits[20:28], "00000000").replace(digits[20:28].upper(), "00000000").replace(pairs[30:41], "00:00:00:00")) != [kind] or text.count(coded[10:14]) == 0
+    for n in (1, 2):
+        nested = key
+        for _ in range(n):
+            nested = code(nested).encode()
+        assert kinds(f"k={code(nested)}") == ["encoded"]
+    wrapped = code(b"-----BEGIN PRIVATE KEY-----\n" + code(key).encode())
+    assert "encoded" in kinds("\n".join(wrapped[k : k + 76] for k in range(0, len(wrapped), 76)))
+    quoted = '"-----BEGIN PRIVATE KEY-----\\n" +\n' + "".join(f'  "{code(key)[k : k + 64]}\\n" +\n' for k in range(0, len(code(key)), 64)) + '  "-----END PRIVATE KEY-----"'
+    assert kinds(quoted) == ["pem_key"]
+    pem = f"-----BEGIN PRIVATE KEY-----\n{code(key)}\n-----END PRIVATE KEY-----"
+    assert kinds("-----BEGIN PRIVATE KEY-----\n" + pem) == ["pem_key"] and S.added_spans(pem + pem) == [(0, "pem_key", len(pem)), (len(pem), "pem_key", 2 * len(pem))]
+    assert kinds(":".join(["00", "1a"] * 40)) == [] and kinds("some words\nin lines\n" * 40) == []
+
+
+HOSTILE = {
+    "begins": lambda n: "-----BEGIN PRIVATE KEY-----" * (n // 27) + "-----END PRIVATE KEY-----", "letters": lambda n: "A" * n, "hex": lambda n: "0a" * (n // 2), "backslashes": lambda n: "\\" * n, "signs": lambda n: "M/" * (n // 2),
+    "short lines": lambda n: "A\n" * (n // 2), "lines": lambda n: ("A" * 40 + "\n") * (n // 41), "steps": lambda n: "\n".join("A" * (20 + i % 3) for i in range(n // 22)), "starts": lambda n: base64.b64encode(b"\x30\x82\xff\xff\x02\x01\x00" * (n * 3 // 28)).decode(),
+    "pairs": lambda n: "00:" * (n // 3), "blanks": lambda n: ('"' + " " * 50) * (n // 51), "ends": lambda n: "M" * 30 + "\n" * n, "tokens": lambda n: "eyJhbGciOiJI." * (n // 13), "escaped": lambda n: ("A" * 20 + "\\n" * 3) * (n // 26),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_grows_with_the_text_alone(name):
+    took = []
+    for n in (250_000, 1_000_000):
+        text, began = HOSTILE[name](n), time.process_time()
+        S.base_spans(text), S.added_spans(text)
+        took.append(time.process_time() - began)
+    assert took[1] < max(8 * took[0], 0.5) and took[1] < 5
+
+
 def test_added_spans_by_hand():
     """Every way to cut a text is decoded by hand; whole keys found so are those that are reported."""
     rng, key = random.Random(21), der(0x30, der(2, b"\1") + der(4, bytes(range(32))))
