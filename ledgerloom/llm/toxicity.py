@@ -20,8 +20,8 @@ hold, and TAIL, which neither does: lengths are then linear in what the window i
 
 Weights are fitted on margins by dictionaries that haven't seen the document: the sample is halved,
 and each half is judged by dictionaries of the other. The dictionaries in use are trained on all of
-it. The driver gets no text but bounded samples of windows and runs; counts of strings and margins
-are computed where the texts are.
+it. The driver gets the sample's ordinary windows and marking runs, all of them (SAMPLE bounds rows,
+so nothing of a row is left out); counts of strings and margins are computed where the texts are.
 
 Null and empty texts have one empty window, no margin, and the score that goes with it. Rows that
 repeat a doc_id are scored each by its own text, and learned from each. Without PER_HALF labels of
@@ -46,8 +46,8 @@ from ledgerloom.llm.learning import fit_logistic, id_bucket, labelled_documents,
 
 #: Labelled documents of each class that are learned from, each with its whole text.
 SAMPLE = 4000
-#: Training samples that reach the driver: windows of ordinary texts, and texts' marking runs; longer ones than RUN_BYTES aren't trained on.
-ORDINARY_WINDOWS, RUN_BYTES = 24_000, 4096
+#: Bytes of a training sample; what is longer is trained on in parts.
+SAMPLE_BYTES = 4096
 #: Words of a scored window, and of the windows that base and ordinary dictionary are trained on.
 WINDOW, BASE_WINDOW, SHORT_WINDOW = 6, 24, 3
 GRAM, NOVEL = 5, 20
@@ -133,12 +133,23 @@ def runs_of(text: str, keep: set[bytes]) -> bytes:
     return b" ".join(dict.fromkeys(r for w in words for r in marking_runs(w, keep)))
 
 
+def in_parts(sample: bytes, most: int = SAMPLE_BYTES) -> list[bytes]:
+    """A sample as parts of at most `most` bytes, which begin at spaces where there are any."""
+    parts, at = [], 0
+    while len(sample) - at > most:
+        end = sample.rfind(b" ", at + 1, at + most)
+        end = end if end > 0 else at + most
+        parts.append(sample[at:end])
+        at = end
+    return [*parts, sample[at:]]
+
+
 def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
-    """Content of a dictionary that zstandard trains; few samples are taken as they are."""
+    """Content of a dictionary that zstandard trains; samples too few for that are taken as they are, all of them."""
     try:
         raw = zstandard.train_dictionary(size, samples, k=k, d=d, level=3).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(samples)
     offsets = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))  # what ends a dictionary's header
     return raw[raw.find(offsets) + len(offsets) :]
 
@@ -146,8 +157,8 @@ def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
 def dictionaries(ordinary: list[bytes], runs: list[bytes]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary, of one length, from ordinary windows of BASE_WINDOW words and marking runs."""
     base = trained(ordinary, BASE, 32, 6)
-    toxic = trained(runs, DICTIONARY, 32, 8)[-DICTIONARY:]
-    short = [w for x in ordinary for w in windows(x.decode(), SHORT_WINDOW)]
+    toxic = trained(runs, DICTIONARY, 32, 8)
+    short = [w for x in ordinary for w in windows(x.decode("utf-8", "replace"), SHORT_WINDOW)]
     return ANCHOR + base + trained(short, DICTIONARY, 32, 8)[: len(toxic)], ANCHOR + base + toxic
 
 
@@ -159,7 +170,7 @@ def kept_grams(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary: int)
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary of texts at hand."""
     keep = kept_grams(gram_counts(toxic), gram_counts(ordinary), len(toxic), len(ordinary))
-    return dictionaries([w for t in ordinary for w in windows(t, BASE_WINDOW)], [r for t in toxic if (r := runs_of(t, keep))])
+    return dictionaries([x for t in ordinary for w in windows(t, BASE_WINDOW) for x in in_parts(w)], [x for t in toxic for x in in_parts(runs_of(t, keep)) if x])
 
 
 def constant(n_toxic: int, n: int) -> Model:
@@ -204,10 +215,9 @@ def training_samples(labelled: DataFrame, keeps: dict) -> DataFrame:
             rows = []
             for y, half, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if y:
-                    rows += [(y, half, m, runs_of(text, keep)) for m, keep in keeps.items() if m in (2, 1 - half)]
+                    rows += [(y, half, m, x) for m, keep in keeps.items() if m in (2, 1 - half) for x in in_parts(runs_of(text, keep)) if x]
                 else:
-                    rows += [(y, half, 2, w) for w in windows(text, BASE_WINDOW)]
-            rows = [r for r in rows if 0 < len(r[3]) <= RUN_BYTES]
+                    rows += [(y, half, 2, x) for w in windows(text, BASE_WINDOW) for x in in_parts(w)]
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["y", "half", "model", "sample"])
 
@@ -234,7 +244,7 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
         toxic, ordinary = (Counter({bytes(r.gram): sum(r[f"{y}_h{h}"] for h in halves) for r in found}) for y in (1, 0))
         keeps[m] = kept_grams(toxic, ordinary, *(sum(sizes[y, h] for h in halves) for y in (1, 0)))
     ordinary, toxic = (training_samples(labelled.where(F.col("y") == y), keeps) for y in (0, 1))
-    some = ordinary.orderBy(F.xxhash64("sample"), "sample", "half").limit(ORDINARY_WINDOWS).unionByName(toxic)
+    some = ordinary.unionByName(toxic)
     ordinary, runs = [], {m: [] for m in keeps}
     for r in some.orderBy("y", F.xxhash64("sample"), "sample", "half", "model").toLocalIterator():
         if r.y:

@@ -171,3 +171,19 @@ def test_search_counts_an_id_once(spark):
         assert np.allclose(g.score, s[g.vec_id])
     assert found.query_id.nunique() == 80 and hits >= 0.9 * 800
     assert additive_search.cells_to_visit(f, additive_search.fit_cells(f), 10) < 16
+
+
+def test_long_samples_are_trained_on_in_parts():
+    from ledgerloom.llm import toxicity as X
+
+    whole = b" ".join(b"word%d" % k for k in range(3000)) + b"y" * 10_000
+    parts = X.in_parts(whole, 512)
+    assert b"".join(parts) == whole and max(map(len, parts)) <= 512
+    assert X.in_parts(b"") == [b""] and X.in_parts(b" short") == [b" short"]
+    # one long toxic text marks as much as it would in short ones
+    marks = [f"mark{k:03d}ed" for k in range(600)]
+    toxic = [" ".join([*marks, "plain words here"])] * 8
+    keep = X.kept_grams(X.gram_counts(toxic), X.gram_counts(["plain words here"] * 50), len(toxic), 50)
+    held = b" ".join(X.in_parts(X.runs_of(toxic[0], keep)))
+    assert len(held) > X.SAMPLE_BYTES and all(m.encode() in held.replace(b"  ", b" ") or m[:4].encode() in held for m in marks)
+    assert X.trained([b"few"], 2048, 32, 8) == b"few" and X.trained([b"ab" * 2000, b"c"], 64, 32, 8).endswith(b"c")
