@@ -98,6 +98,23 @@ def test_chunks():
     assert passages.split_long("x" * 10, 4) == ["xxxx", "xxxx", "xx"]
 
 
+def test_chunks_of_one_long_run():
+    """Slices lose outer blanks where they are joined, not where they open a chunk."""
+    first, second, third = passages.chunk_text("abcd " * 600)
+    assert first == ("abcd " * 200).strip() and len(first) == 999
+    assert second == ("abcd " * 40).strip() + " " + "abcd " * 200  # the tail of 200 begins within a word, which goes
+    assert third == "abcd " * 39 + " " + ("abcd " * 200).strip()
+    assert passages.chunk_text("aa bb\n\n cc  dd \n \nee", 100) == ["aa bb\n\n cc  dd \n \nee"]
+    assert passages.chunk_text("aa bb.\n\n cc  dd \n \nee. ff", 10, 4) == ["aa bb.", "bb. cc dd", "dd ee. ff"]
+
+
+def test_empty_parts_of_long_texts():
+    assert passages.split_long("\n\naaaaaaaa\n\nbbbbbbbb", 15) == ["aaaaaaaa", "bbbbbbbb"]
+    assert passages.split_long("x" * 15 + "   \n\nbbb", 15) == ["x" * 15, "bbb"]
+    assert passages.split_long("aaa\n\n\n\n" + "y" * 14 + ". z", 15) == ["aaa", "y" * 14 + ".", "z"]
+    assert passages.split_long(". " + "b" * 20, 10) == [". bbbbbbbb", "bbbbbbbbbb", "bb"]
+
+
 def walk(seqs, matches, exists, taken, gap=2):
     """Positions outwards from a run, one by one."""
     kept, last = 0, 0
