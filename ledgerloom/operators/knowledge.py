@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import records as R
 from ledgerloom.functions import text as T
+from ledgerloom.lineage import cut
 from ledgerloom.operators.graph import closure
 from ledgerloom.operators.passages import pack, split_rows
 
@@ -26,9 +27,9 @@ def surface(collections: DataFrame, parts: DataFrame, titles: DataFrame, notes:
     named = inside.join(titles, "uri").select("collection", "depth", "uri", F.lit("title").alias("kind"), F.col("title").alias("text"), F.lit("").alias("pid"))
     told = inside.join(notes.where(F.col("type").isin(*kinds)), "uri").select("collection", "depth", "uri", F.col("type").alias("kind"), F.col("content").alias("text"), F.col("persistent_id").alias("pid"))
     units = named.unionByName(told).where(F.coalesce(F.col("text"), F.lit("")) != "").distinct()
-    cut = split_rows(units, "text", UNIT_CHARS)
+    pieces = split_rows(units, "text", UNIT_CHARS)
     order = Window.partitionBy("collection").orderBy("depth", "uri", F.desc(F.col("kind") == "title"), "pid", "k")
-    return cut.select("collection", (F.row_number().over(order) - 1).cast("long").alias("i"), F.col("uri").alias("source_uri"), "kind", F.col("piece").alias("text"))
+    return pieces.select("collection", (F.row_number().over(order) - 1).cast("long").alias("i"), F.col("uri").alias("source_uri"), "kind", F.col("piece").alias("text"))
 
 
 def packed(units: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
@@ -82,7 +83,7 @@ def relevant(question: str, chunks: DataFrame, judge: Callable[[str, list[str]],
             except Exception:
                 yield b
 
-    kept = chunks.select(*names).mapInPandas(run, schema)
+    kept = cut(chunks.select(*names).mapInPandas(run, schema), "judged")  # a judge is asked once
     return chunks.where(rescue).orderBy(order).limit(keep) if rescue is not None and kept.isEmpty() else kept
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import cli
 from ledgerloom.functions import records as R
 from ledgerloom.functions import text as T
-from ledgerloom.operators import app, exports, flatten, knowledge, resolution, tables
+from ledgerloom.operators import app, exports, flatten, guard, knowledge, resolution, tables
 from ledgerloom.sources import files, paged
 
 
@@ -175,3 +175,24 @@ def test_desk_rules(spark, tmp_path):
     tables.create_by_label(spark.createDataFrame([("A", 1), ("B", 2)], "label string, k int"), str(tmp_path / "n"))
     assert sorted(p.name for p in (tmp_path / "n").glob("label=*")) == ["label=A", "label=B"]
     assert tables.capped(old, 0)[1] and not tables.capped(old, 1)[1]
+
+
+def test_guard_allows_named_functions_and_bounded_sizes(spark):
+    things = spark.range(2000).selectExpr("id as k", "cast(id as string) as name", "array(id) as list")
+    run = lambda query, **more: guard.run_guarded(spark, query, {"things": things}, **more)[0]
+    refused = [
+        "select current_user(), input_file_name() from things", "select current_user from things", "select * from range(3)", "select k from things where exists (select 1 from things t where t.k = 1 and uuid() = '')",
+        "select k from things order by rand()", "select (select max(version()) from things)", "select spark_partition_id() from things", "select k, x from things lateral view json_tuple(name, 'a') t as x", "with a as (select session_user() u) select u from a",
+    ]
+    for query in refused:
+        with pytest.raises(guard.Refused):
+            run(query)
+    assert run("select max(k) over (order by k) as m, upper(name) from things where k in (select k from things where k < 3) and name like '%1'").count() == 1
+    assert run("with a as (select x from things lateral view explode(list) t as x) select count(*) as n, sum(case when x > 5 then 1 else 0 end) from a").first()[0] == 2000
+    assert run("select filter(list, v -> v > 1)[0] as v from things where k = 4").first().v == 4
+    with pytest.raises(guard.Refused, match="too large"):
+        run("select count(*) from things a cross join things b cross join things c cross join things d")
+    with pytest.raises(guard.Refused, match="too large"):
+        run("select a.k from things a cross join things b", largest=1 << 20)
+    with pytest.raises(guard.Refused, match="upper"):
+        run("select upper(name) from things", functions=frozenset({"count"}))
