@@ -173,6 +173,53 @@ def test_search_counts_an_id_once(spark):
     assert additive_search.cells_to_visit(f, additive_search.fit_cells(f), 10) < 16
 
 
+def share_found(found, x, ids, queries, k):
+    """The least share of a query's k nearest, by score, that was found."""
+    shares = []
+    for q in queries:
+        s = additive_search.exact_scores(x, x[ids == q][0])
+        s[ids == q] = -np.inf
+        mine = found[found.query_id == q].sort_values("rank")
+        assert mine["rank"].tolist() == [*range(1, k + 1)] and q not in set(mine.vec_id)
+        assert mine.score.tolist() == [s[ids == v][0] for v in mine.vec_id]
+        shares.append(len(set(ids[np.lexsort((ids, -s))[:k]]) & set(mine.vec_id)) / k)
+    return min(shares)
+
+
+def test_queries_unlike_the_other_vectors_find_theirs(spark):
+    """Tight clusters need few cells; the queries among them have no structure and need many."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20, 16))[rng.integers(20, size=4000)] + 0.05 * rng.normal(size=(4000, 16))
+    x[::50] = rng.normal(size=(80, 16))
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = additive_search.search(df, lambda v: v % 50 == 0, k=10, levels=4, codes=32).toPandas()
+    assert found.query_id.nunique() == 80 and share_found(found, x, np.arange(4000), range(0, 4000, 50), 10) >= 0.9
+
+
+def test_dimensions_are_searched_each_by_itself_and_at_any_scale(spark):
+    rng = np.random.default_rng(6)
+    sets = {0: rng.normal(size=(1500, 16)) * 1e-25, 2000: rng.normal(size=(600, 12)), 4000: rng.normal(size=(3, 5))}
+    df = spark.createDataFrame([(first + k, [float(v) for v in r]) for first, x in sets.items() for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = additive_search.search(df, lambda v: v % 50 == 0, k=5, levels=4, codes=32).toPandas()
+    assert set(found.query_id) == {*range(0, 1500, 50), *range(2000, 2600, 50), 4000} and (found.query_id == 4000).sum() == 2
+    for first in (0, 2000):
+        ids = first + np.arange(len(sets[first]))
+        assert share_found(found, sets[first], ids, range(first, int(ids[-1]) + 1, 50), 5) >= 0.8
+
+
+def test_no_cell_holds_more_than_its_bound():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 8)) * np.exp(rng.normal(size=(2000, 1)))
+    book = additive_search.fit_cells(x, 16)
+    own, queries = additive_search.own_cell(x, book), additive_search.unit(rng.normal(size=(200, 8)))
+    along = (x * book[own]).sum(1)
+    across = np.linalg.norm(x - along[:, None] * book[own], axis=1)
+    projected = np.outer(along, np.cos(additive_search.ANGLES)) + np.outer(across, np.sin(additive_search.ANGLES))
+    bounds = additive_search.cell_bounds(queries, book, np.array([projected[own == c].max(0) for c in range(len(book))]))
+    scores = np.array([[(x[own == c] @ q).max() for c in range(len(book))] for q in queries])
+    assert (scores <= bounds).all() and (bounds - scores).min() < 1
+
+
 def test_long_samples_are_trained_on_in_parts():
     from ledgerloom.llm import toxicity as X
 
