@@ -4,23 +4,34 @@
     terms/                term, bucket, df, n
     about/                n, mean, buckets, slots, key and its type; written last, so an index that has it is whole
 
-A slot is a share of about SLOT documents by hash of their key, so no posting is longer however common its term:
-a term that every document holds is as many rows as there are slots. Rows are dealt by bucket of term and by slot,
+A slot is up to SLOT documents that one task reads after another, so no posting is longer however common its term:
+a term that every document holds is as many rows as there are slots. Rows are dealt by bucket of term
 and sorted by term, so a query reads its terms' buckets (partition filter) and their row groups
 (statistics of term). `at` are positions of the term among the document's tokens, for phrases. `bound`
-is the largest share of a term's weight that any document of the slot has; summed over a query's
-terms it bounds all scores of the slot, and slots below the k-th best score so far are never read.
+is at least the largest share of a term's weight that any document of the slot has, by 1 / GRAIN at most; summed over
+a query's terms it bounds all scores of the slot, and slots below the k-th best score so far are never read.
+
+What building writes besides the index is one shuffle of its postings, packed: a task turns a block of documents into arrays
+for each bucket, which are compressed as a whole and unpacked into rows on the other side. Texts and tokens are never shuffled,
+unless keys are repeated.
 
 Tokens are runs of letters in lower case. Null texts have none, and don't count for the mean length.
-A key is expected once: rows that share one are a document with the tokens of all."""
+A key is expected once: rows that share one are brought together first, and count as one document where their lengths are
+the same. Rows must come in the same order whenever a task reads them, as those of files do."""
 
 from __future__ import annotations
 
 import functools
 import hashlib
 import math
+import pickle
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +42,8 @@ K1, B = 1.2, 0.75
 LETTERS = r"[^\p{L}]+"
 #: Documents of a slot, tokens of a bucket, buckets at most, and terms that a fuzzy word stands for at most.
 SLOT, BUCKET, BUCKETS, EXPANSIONS = 256, 4_000_000, 4096, 50
+#: Tokens that a task packs at once, texts that it gets at once, and steps of 1 in which bounds are given.
+BLOCK, ARROW_ROWS, GRAIN = 1_000_000, 512, 64
 
 
 def tokens(text: Column) -> Column:
@@ -90,26 +103,120 @@ class Index:
         return {t: weighted[t] * inverse_frequency(df, self.n) for t, df in self.frequencies(list(weighted)).items()}
 
 
+def blocks(batches: Iterator[pa.RecordBatch], repeated: bool) -> Iterator[pa.Table]:
+    """Tables of about BLOCK tokens; rows that share a key stay together, if there may be any."""
+    held, size, enough = [], 0, BLOCK
+    tokens_of = lambda batch: len(batch.column(1).flatten())
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLOT):
+            held.append(batch.slice(start, SLOT))
+            size += tokens_of(held[-1])
+            if size < enough:
+                continue
+            table = pa.Table.from_batches(held)
+            last = int(np.flatnonzero(begins(table.column(0)))[-1]) if repeated else table.num_rows
+            if last:
+                yield table[:last]
+            held = table[last:].combine_chunks().to_batches()
+            size = sum(map(tokens_of, held))
+            enough = max(BLOCK, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def begins(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether a value differs from the one before; nulls are alike."""
+    codes = column.combine_chunks().dictionary_encode("encode").indices.to_numpy()
+    return np.diff(codes, prepend=-1) != 0
+
+
+def small(numbers: np.ndarray) -> np.ndarray:
+    """In the narrowest unsigned type."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
+def pack(batches: Iterator[pa.RecordBatch], buckets: int, repeated: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of key and tokens to one row for each block and bucket: terms, postings of each; slot, key, tf, length of
+    each posting; gaps of the positions."""
+    slot = TaskContext.get().partitionId() << 32
+    for block in blocks(batches, repeated):
+        keys, lists = (c.combine_chunks() for c in block.columns)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        new = begins(block.column(0)) if repeated else np.ones(len(keys), bool)
+        slots = slot + (np.cumsum(new) - 1) // SLOT
+        slot = int(slots[-1]) + 1
+        coded = lists.flatten().dictionary_encode()
+        terms = coded.dictionary
+        bucket = np.fromiter((zlib.crc32(t.encode()) % buckets for t in terms.to_pylist()), np.int32, len(terms))
+        by_bucket = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(terms), np.int32)
+        rank[by_bucket] = np.arange(len(terms), dtype=np.int32)
+        term = rank[coded.indices.to_numpy()]
+        # the first of the rows with this key and length stands for all
+        first = np.flatnonzero(new | (np.diff(lengths, prepend=-1) != 0))
+        doc = np.repeat(np.repeat(first, np.diff(first, append=len(keys))).astype(np.int32), lengths)
+        at = np.arange(len(term), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+        order = np.lexsort((at, doc, term)) if repeated else np.argsort(term, kind="stable")
+        term, doc, at = term[order], doc[order], at[order]
+        start = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        gap = np.diff(at, prepend=0)
+        gap[start] = at[start]
+        tf, term, doc = np.diff(start, append=len(at)), term[start], doc[start]
+        held = np.bincount(term, minlength=len(terms))  # postings of each term
+        ends, sizes, names = np.cumsum(held), bucket[by_bucket], terms.take(pa.array(by_bucket))
+        cuts = [*np.flatnonzero(np.diff(sizes, prepend=-1)), len(terms)]
+        rows = []
+        for a, b in zip(cuts, cuts[1:]):
+            x, y = int(ends[a] - held[a]), int(ends[b - 1])
+            part, base = doc[x:y], int(slots[0])
+            gaps = gap[start[x] : start[y] if y < len(start) else len(gap)]
+            raw = pickle.dumps((names[a:b].to_pylist(), small(held[a:b]), base, small(slots[part] - base), keys.take(pa.array(part)), small(tf[x:y]), small(lengths[part]), small(gaps)), 5)
+            rows.append((int(sizes[a]), len(raw), pa.compress(raw, "zstd", asbytes=True)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "size", "packed"])
+
+
+def unpack(batches: Iterator[pa.RecordBatch], key: str, mean: float) -> Iterator[pa.RecordBatch]:
+    """What pack() made, as rows of postings."""
+    for batch in batches:
+        for bucket, size, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            names, held, base, slots, keys, tf, length, gap = pickle.loads(pa.decompress(packed, size, "zstd", asbytes=True))
+            term, tf, length = np.repeat(np.arange(len(names)), held), tf.astype(np.int32), length.astype(np.int32)
+            starts = np.concatenate([[0], np.cumsum(tf)]).astype(np.int32)
+            at = np.cumsum(gap, dtype=np.int64)
+            at -= np.repeat(at[starts[:-1]] - gap[starts[:-1]], tf)
+            docs = pa.StructArray.from_arrays([keys, pa.array(tf), pa.array(length), pa.ListArray.from_arrays(pa.array(starts), pa.array(at.astype(np.int32)))], [key, "tf", "length", "at"])
+            row = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(slots.astype(np.int64), prepend=-1) != 0))
+            share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (mean or 1.0)))
+            bound = (np.floor(np.maximum.reduceat(share, row) * GRAIN) + 1) / GRAIN
+            columns = [
+                pa.array(np.full(len(row), bucket, np.int32)), pa.array(names, pa.string()).take(pa.array(term[row])), pa.array(base + slots[row].astype(np.int64)), pa.array(bound),
+                pa.ListArray.from_arrays(pa.array(np.append(row, len(tf)).astype(np.int32)), docs),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "term", "slot", "bound", "docs"])
+
+
 def build(docs: DataFrame, key: str, text: str, folder: str) -> Index:
     """Write the index of docs (key, text) to a folder, and open it."""
     spark = docs.sparkSession
-    split = docs.select(F.col(key), tokens(F.col(text)).alias("__t")).select(key, F.coalesce(F.size("__t"), F.lit(0)).alias("length"), "__t")
     size = docs.select(F.regexp_count(F.lower(F.col(text)), F.lit(r"\p{L}+")).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
     slots, buckets = max(1, -(-size.n // SLOT)), max(8, min(BUCKETS, size.tokens // BUCKET))
-    slot = F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot")
-    said = split.select(key, slot, F.least("length", F.lit((1 << 31) - 1)).cast("int").alias("length"), F.posexplode("__t").alias("at", "term"))
-    # a document's tokens are in one row, so this combines wholly before its shuffle
-    counted = said.groupBy("slot", "term", key, "length").agg(F.collect_list("at").alias("at"))
-    doc = F.struct(F.col(key), F.size("at").alias("tf"), F.col("length"), F.array_sort("at").alias("at"))
-    share = saturation(F.size("at"), F.col("length"), size.mean)
-    listed = counted.groupBy("slot", "term").agg(F.max(share).alias("bound"), F.array_sort(F.collect_list(doc)).alias("docs"))
-    placed = listed.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
-    dealt = placed.repartition("bucket", F.floor(F.col("slot") / 64)).sortWithinPartitions("bucket", "term", "slot")
-    dealt.select("bucket", "term", "slot", "bound", "docs").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     kind = docs.schema[key].dataType.simpleString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    rows = docs.select(F.col(key), F.col(text))
+    repeated = not docs.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty()
+    split = (rows.repartition(key) if repeated else rows).select(key, tokens(F.col(text)).alias("__t"))
+    if repeated:
+        split = split.sortWithinPartitions(key, F.size("__t"))
+    packed = split.mapInArrow(functools.partial(pack, buckets=buckets, repeated=repeated), "bucket int, size long, packed binary")
+    doc = f"struct<`{key}`: {kind}, tf: int, length: int, at: array<int>>"
+    # large buckets are dealt to several tasks, each of which sorts its own
+    listed = packed.hint("rebalance", "bucket").mapInArrow(functools.partial(unpack, key=key, mean=float(size.mean or 0.0)), f"bucket int, term string, slot long, bound double, docs array<{doc}>")
+    listed.sortWithinPartitions("bucket", "term", "slot").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
     held = read_postings(spark, folder, key, kind)
-    n = F.aggregate("docs", F.lit(0).cast("long"), lambda x, d: x + d["tf"])
-    held.groupBy("term", "bucket").agg(F.sum(F.size("docs")).alias("df"), F.sum(n).alias("n")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+    n = F.aggregate("docs.tf", F.lit(0).cast("long"), lambda x, tf: x + tf)
+    counted = held.groupBy("term", "bucket").agg(F.sum(F.size("docs.tf")).alias("df"), F.sum(n).alias("n"))
+    counted.sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/terms")
     about = spark.range(1).select(F.lit(size.n).cast("long").alias("n"), F.lit(float(size.mean or 0.0)).alias("mean"), F.lit(buckets).cast("int").alias("buckets"), F.lit(slots).cast("long").alias("slots"), F.lit(key).alias("key"), F.lit(kind).alias("kind"))
     about.write.mode("overwrite").parquet(f"{folder}/about")
     return Index(spark, folder)

@@ -41,9 +41,9 @@ def documents_index(spark, d):
 
 
 def linked_index(spark, d):
-    """The index of the documents that have a vector."""
+    """The index of the documents that have a vector, sorted because a join gives no order."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    return I.index_of(table(spark, d, "documents").join(vectors, "doc_id", "left_semi"), "doc_id", "text", "linked")
+    return I.index_of(table(spark, d, "documents").join(vectors, "doc_id", "left_semi").sortWithinPartitions("doc_id"), "doc_id", "text", "linked")
 
 
 PLAIN = dict.fromkeys(TERMS, 1.0)

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,58 @@ def test_no_documents(spark, texts, tmp_path):
     texts.where("false").write.parquet(path)
     empty = I.index_of(spark.read.parquet(path), "doc", "body")
     assert empty.n == 0 and found(I.best(empty, {"the": 1.0}, 5)) == {} and found(I.lexical(empty, "rope making")) == {}
+
+
+def disk(spark, docs, folder):
+    """Bytes that building an index shuffles, spills and leaves."""
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        held = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    before = shuffled()
+    index = I.build(docs, "doc_id", "text", folder)
+    fs, path = I.path_of(spark, folder)
+    return index, shuffled() - before + fs.getContentSummary(path).getLength()
+
+
+def test_building_writes_less_than_four_times_the_texts(spark, tmp_path):
+    """Shuffles and index together, where nearly every word is a posting of its own."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("aeioulmnrst", k=rng.choice((2, 3, 5, 7)))) for _ in range(300))) for i in range(3000)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    fs, where = I.path_of(spark, path)
+    index, used = disk(spark, spark.read.parquet(path), str(tmp_path / "index"))
+    assert index.n == 3000 and used < 4 * fs.getContentSummary(where).getLength()
+
+
+def test_rows_that_share_a_key(spark, tmp_path):
+    rows = [(1, "rope mill rope"), (1, "mill river mill"), (1, "mill"), (None, "rope"), (None, "rope"), (None, "rope a"), (2, None), (2, ""), *((i, "a mill") for i in range(3, 600))] * 2
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc long, body string").repartition(5).write.parquet(path)
+    index = I.index_of(spark.read.parquet(path), "doc", "body")
+    said = {}
+    for key, text in rows:
+        words = (text or "").split()
+        for at, word in enumerate(words):
+            said.setdefault((word, key, len(words)), []).append(at)
+    held = index.all_postings.select("term", "slot", F.explode("docs").alias("d")).select("term", "slot", "d.*").collect()
+    assert {(r.term, r.doc, r.length): (r.tf, r.at) for r in held} == {k: (len(v), sorted(v)) for k, v in said.items()} and len(held) == len(said)
+    slots = {}
+    for r in held:
+        slots.setdefault(r.doc, set()).add(r.slot)
+    assert all(len(x) == 1 for x in slots.values())
+
+
+def test_blocks_of_texts(monkeypatch):
+    monkeypatch.setattr(I, "BLOCK", 50)
+    rng = random.Random(3)
+    rows = sorted((rng.randint(0, 40), ["a"] * rng.randint(0, 9)) for _ in range(900)) + [(50, ["b"] * 7)] * 300
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 100]]), pa.array([r[1] for r in rows[i : i + 100]], pa.list_(pa.string()))], ["k", "t"]) for i in range(0, len(rows), 100)]
+    for repeated in (False, True):
+        made = [b.to_pylist() for b in I.blocks(iter(batches), repeated)]
+        assert [(r["k"], r["t"]) for b in made for r in b] == rows and len(made) > 5
+        if repeated:
+            assert all(a[-1]["k"] != b[0]["k"] for a, b in zip(made, made[1:]))
