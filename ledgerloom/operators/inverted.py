@@ -44,6 +44,8 @@ LETTERS = r"[^\p{L}]+"
 SLOT, BUCKET, BUCKETS, EXPANSIONS = 256, 4_000_000, 4096, 50
 #: Tokens that a task packs at once, texts that it gets at once, and steps of 1 in which bounds are given.
 BLOCK, ARROW_ROWS, GRAIN = 1_000_000, 512, 64
+#: Keys that are packed as numbers.
+KINDS = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
 
 
 def tokens(text: Column) -> Column:
@@ -130,15 +132,23 @@ def begins(column: pa.ChunkedArray) -> np.ndarray:
     return np.diff(codes, prepend=-1) != 0
 
 
-def small(numbers: np.ndarray) -> np.ndarray:
-    """In the narrowest unsigned type."""
-    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+def thin(numbers: np.ndarray) -> tuple[int, int, bytes]:
+    """Whole numbers as their least, and what they have beyond it, in as few bytes as that takes: all first bytes, all second ones, ..."""
+    least = int(numbers.min()) if len(numbers) else 0
+    beyond = numbers.astype(np.int64).view(np.uint64) - np.uint64(least % (1 << 64))  # modulo 2^64, so right for the largest spans too
+    width = np.min_scalar_type(int(beyond.max(initial=0))).itemsize
+    return least, width, beyond.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def thick(least: int, width: int, raw: bytes) -> np.ndarray:
+    beyond = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+    return (beyond.astype(np.uint64) + np.uint64(least % (1 << 64))).view(np.int64)
 
 
 def pack(batches: Iterator[pa.RecordBatch], buckets: int, repeated: bool) -> Iterator[pa.RecordBatch]:
     """Batches of key and tokens to one row for each block and bucket: terms, postings of each; slot, key, tf, length of
     each posting; gaps of the positions."""
-    slot = TaskContext.get().partitionId() << 32
+    slot, codec = TaskContext.get().partitionId() << 32, pa.Codec("zstd", compression_level=6)
     for block in blocks(batches, repeated):
         keys, lists = (c.combine_chunks() for c in block.columns)
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
@@ -163,34 +173,38 @@ def pack(batches: Iterator[pa.RecordBatch], buckets: int, repeated: bool) -> Ite
         gap[start] = at[start]
         tf, term, doc = np.diff(start, append=len(at)), term[start], doc[start]
         held = np.bincount(term, minlength=len(terms))  # postings of each term
-        ends, sizes, names = np.cumsum(held), bucket[by_bucket], terms.take(pa.array(by_bucket))
-        cuts = [*np.flatnonzero(np.diff(sizes, prepend=-1)), len(terms)]
+        ends, bucket, names = np.cumsum(held), bucket[by_bucket], terms.take(pa.array(by_bucket)).to_pylist()
+        cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)), len(terms)]
         rows = []
         for a, b in zip(cuts, cuts[1:]):
             x, y = int(ends[a] - held[a]), int(ends[b - 1])
-            part, base = doc[x:y], int(slots[0])
-            gaps = gap[start[x] : start[y] if y < len(start) else len(gap)]
-            raw = pickle.dumps((names[a:b].to_pylist(), small(held[a:b]), base, small(slots[part] - base), keys.take(pa.array(part)), small(tf[x:y]), small(lengths[part]), small(gaps)), 5)
-            rows.append((int(sizes[a]), len(raw), pa.compress(raw, "zstd", asbytes=True)))
+            part, last = doc[x:y], start[y] if y < len(start) else len(gap)
+            key = keys.take(pa.array(part))
+            key = thin(key.to_numpy()) if pa.types.is_signed_integer(key.type) and not key.null_count else key
+            # tokens are letters alone
+            raw = pickle.dumps((" ".join(names[a:b]), key, *map(thin, (held[a:b], slots[part], tf[x:y], lengths[part], gap[start[x] : last]))), 5)
+            rows.append((int(bucket[a]), len(raw), codec.compress(raw, asbytes=True)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "size", "packed"])
 
 
-def unpack(batches: Iterator[pa.RecordBatch], key: str, mean: float) -> Iterator[pa.RecordBatch]:
+def unpack(batches: Iterator[pa.RecordBatch], key: str, kind: str, mean: float) -> Iterator[pa.RecordBatch]:
     """What pack() made, as rows of postings."""
     for batch in batches:
         for bucket, size, packed in zip(*(c.to_pylist() for c in batch.columns)):
-            names, held, base, slots, keys, tf, length, gap = pickle.loads(pa.decompress(packed, size, "zstd", asbytes=True))
+            names, keys, *numbers = pickle.loads(pa.decompress(packed, size, "zstd", asbytes=True))
+            names, (held, slots, tf, length, gap) = names.split(" "), (thick(*x) for x in numbers)
+            keys = keys if isinstance(keys, pa.Array) else pa.array(thick(*keys)).cast(KINDS[kind])
             term, tf, length = np.repeat(np.arange(len(names)), held), tf.astype(np.int32), length.astype(np.int32)
             starts = np.concatenate([[0], np.cumsum(tf)]).astype(np.int32)
-            at = np.cumsum(gap, dtype=np.int64)
+            at = np.cumsum(gap)
             at -= np.repeat(at[starts[:-1]] - gap[starts[:-1]], tf)
             docs = pa.StructArray.from_arrays([keys, pa.array(tf), pa.array(length), pa.ListArray.from_arrays(pa.array(starts), pa.array(at.astype(np.int32)))], [key, "tf", "length", "at"])
-            row = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(slots.astype(np.int64), prepend=-1) != 0))
+            row = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(slots, prepend=-1) != 0))
             share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (mean or 1.0)))
             bound = (np.floor(np.maximum.reduceat(share, row) * GRAIN) + 1) / GRAIN
             columns = [
-                pa.array(np.full(len(row), bucket, np.int32)), pa.array(names, pa.string()).take(pa.array(term[row])), pa.array(base + slots[row].astype(np.int64)), pa.array(bound),
+                pa.array(np.full(len(row), bucket, np.int32)), pa.array(names, pa.string()).take(pa.array(term[row])), pa.array(slots[row]), pa.array(bound),
                 pa.ListArray.from_arrays(pa.array(np.append(row, len(tf)).astype(np.int32)), docs),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "term", "slot", "bound", "docs"])
@@ -211,7 +225,7 @@ def build(docs: DataFrame, key: str, text: str, folder: str) -> Index:
     packed = split.mapInArrow(functools.partial(pack, buckets=buckets, repeated=repeated), "bucket int, size long, packed binary")
     doc = f"struct<`{key}`: {kind}, tf: int, length: int, at: array<int>>"
     # large buckets are dealt to several tasks, each of which sorts its own
-    listed = packed.hint("rebalance", "bucket").mapInArrow(functools.partial(unpack, key=key, mean=float(size.mean or 0.0)), f"bucket int, term string, slot long, bound double, docs array<{doc}>")
+    listed = packed.hint("rebalance", "bucket").mapInArrow(functools.partial(unpack, key=key, kind=kind, mean=float(size.mean or 0.0)), f"bucket int, term string, slot long, bound double, docs array<{doc}>")
     listed.sortWithinPartitions("bucket", "term", "slot").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
     held = read_postings(spark, folder, key, kind)
     n = F.aggregate("docs.tf", F.lit(0).cast("long"), lambda x, tf: x + tf)

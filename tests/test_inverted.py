@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,24 @@ def test_rows_that_share_a_key(spark, tmp_path):
     assert all(len(x) == 1 for x in slots.values())
 
 
+@pytest.mark.parametrize("numbers", [[], [0], [7, 7], [-5, 300, 2], [-(2**63), 2**63 - 1, 0], [2**40, 2**40 + 65535]])
+def test_thinned_numbers(numbers):
+    least, width, raw = I.thin(np.array(numbers, np.int64))
+    assert I.thick(least, width, raw).tolist() == numbers and len(raw) == width * len(numbers)
+
+
+@pytest.mark.parametrize("key", ["doc", "cast(doc as smallint)", "concat('é', doc)", "if(doc % 5 = 0, null, doc)", "cast(doc as decimal(30, 2))", "date_add(date'2020-01-01', cast(doc as int))"])
+def test_keys_of_other_types(texts, tmp_path, key):
+    path = str(tmp_path / "docs")
+    texts.where("doc between -4 and 60").selectExpr(f"{key} as k", "body").write.parquet(path)
+    docs = texts.sparkSession.read.parquet(path)
+    index = I.index_of(docs, "k", "body")
+    held = index.all_postings.where("term = 'the'").select(F.inline("docs")).select("k", "tf", "length")
+    scanned = docs.select("k", F.filter(I.tokens(F.col("body")), lambda t: t == "the").alias("t"), F.size(I.tokens(F.col("body"))).alias("length")).where("size(t) > 0").groupBy("k", "length").agg(F.sum(F.size("t")).alias("tf"))
+    assert held.schema["k"].dataType == docs.schema["k"].dataType
+    assert sorted(map(str, held.collect())) == sorted(map(str, scanned.select("k", F.col("tf").cast("int"), "length").collect())) != []
+
+
 def test_blocks_of_texts(monkeypatch):
     monkeypatch.setattr(I, "BLOCK", 50)
     rng = random.Random(3)
